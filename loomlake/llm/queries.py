@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loomlake.session import table
 
-from . import bpe, sharding, tokenstore
+from . import bpe, decontaminate, langid, sharding, tokenstore, toxicity
+from .common import held_out
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", "predicted")
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(langid.training_rows(docs))
+    return langid.identify(docs, model).select("doc_id", held_out("doc_id", 0).alias("held_out"), "lang_pred", "score", "langs", "shares")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -45,11 +63,31 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
+    "op7_langid": op7_langid,
     "op9_sharding": op9_sharding,
     "op10_token_store": op10_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words and distinct five-word shingles of a text; fewer words make one shingle of all.
+WORDS = "regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+SHINGLES = "list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END)"
+
+
+def _shingled(name: str, table_: str, key: str) -> str:
+    words = WORDS.format(text="coalesce(text, '')")
+    return f"{name} AS (SELECT {key}, {SHINGLES} AS s FROM (SELECT {key}, {words} AS w FROM {table_}))"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": f"""
+WITH {_shingled("d", "documents", "doc_id")}, {_shingled("b", "benchmark", "item_id")},
+du AS (SELECT doc_id, unnest(s) AS g FROM d), bu AS (SELECT item_id, len(s) AS n_shingles, unnest(s) AS g FROM b)
+SELECT doc_id, item_id, n_shingles::BIGINT AS n_shingles, count(*) AS n_shared, count(*)::DOUBLE / n_shingles AS containment
+FROM du JOIN bu USING (g) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.75 * n_shingles
+""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
