@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlake.session import table
 
-from . import bpe, decontaminate, langid, sharding, tokenstore, toxicity
+from . import bpe, decontaminate, langid, ngram_join, sharding, tokenstore, toxicity
 from .common import held_out
 
 
@@ -45,6 +45,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out("doc_id", 0).alias("held_out"), "lang_pred", "score", "langs", "shares")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op7_langid": op7_langid,
+    "op8_ngram_join": op8_ngram_join,
     "op9_sharding": op9_sharding,
     "op10_token_store": op10_token_store,
 }
