@@ -14,7 +14,6 @@ results; a null doc_id stays null.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +22,9 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import batches, texts_of
+from .pieces import Remembered
 
 SHORT = 32
-#: Matches kept with their ids in a Python worker; a full cache starts anew.
-CACHE = 300_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -181,38 +179,32 @@ def merge_many(pieces: list[bytes], width: int, ranks: Ranks) -> list[bytes]:
 
 
 class Codec:
-    """Encodes and decodes texts; holds the ids of the matches that it has met."""
+    """Encodes and decodes texts; holds the ids of the words that it has met."""
 
     def __init__(self, data: bytes, pattern: str):
         self.ranks = Ranks(data)
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        self.encode = Remembered(self.ids, np.array([len(b) for b in self.ranks.bytes_of])).encode
 
-    def learn(self, matches: set[str]) -> None:
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of a text; each distinct match is merged once."""
+        matches = self.split(text)
+        known: dict[str, bytes] = {}
         by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for match in matches:
+        for match in set(matches):
             piece = match.encode()
             whole = self.ranks.rank.get(piece)
             if whole is not None:
-                self.cache[match] = whole.to_bytes(4, "little")
+                known[match] = whole.to_bytes(4, "little")
             elif len(piece) > SHORT:
-                self.cache[match] = merge_one(piece, self.ranks).astype("<u4").tobytes()
+                known[match] = merge_one(piece, self.ranks).astype("<u4").tobytes()
             else:
                 by_width.setdefault(1 << (len(piece) - 1).bit_length(), []).append((match, piece))
         for width, found in by_width.items():
             for at in range(0, len(found), 20_000):
                 part = found[at : at + 20_000]
-                self.cache.update(zip((m for m, _ in part), merge_many([p for _, p in part], width, self.ranks)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.split(t) for t in texts]
-        wanted = set().union(*split)
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        self.learn(wanted - self.cache.keys())
-        get = self.cache.__getitem__
-        return [b"".join(map(get, matches)) for matches in split]
+                known.update(zip([m for m, _ in part], merge_many([p for _, p in part], width, self.ranks)))
+        return np.frombuffer(b"".join(map(known.__getitem__, matches)), "<u4")
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.ranks.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -254,6 +246,3 @@ def decode(encoded: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
 
     return encoded.mapInArrow(run, "doc_id long, ids binary, text binary")
 
-
-def digest(ids: bytes) -> str:
-    return hashlib.sha256(ids).hexdigest()

@@ -14,23 +14,25 @@ and how many follow; an empty table gives an empty store.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlake.session import scratch
 
 from .common import batches, mix, prepare, texts_of
+from .pieces import Remembered
 
 U64 = np.uint64
 NULL_KEY = -(1 << 63)
-SHARD_BYTES = 4 << 20
-CACHE = 300_000
+SHARD_BYTES = 2 << 20
+#: Shards whose starts are broadcast; beyond, they are joined.
+BROADCAST_SHARDS = 500_000
 COLUMNS = "part int, shard int, first_id long, last_id long, n_docs long, n_tokens long, width int, payload binary, ends binary, keys binary, bits binary, fingerprints binary, places binary"
 
 
@@ -93,28 +95,24 @@ class PerfectHash:
 
 
 class Tokenizer:
-    """The tokenizers library over texts; remembers the ids of the pieces between its split points."""
+    """The tokenizers library over texts; holds the ids of the words that it has met."""
 
-    def __init__(self, definition: str, pattern: str):
+    def __init__(self, definition: str, dtype: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import tokenizers
 
         self.own = tokenizers.Tokenizer.from_str(definition)
         self.own.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], dtype: str) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        wanted = set().union(*split)
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        new = list(wanted - self.cache.keys())
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for piece, found in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[piece] = np.array(found.ids, dtype).tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        self.dtype = dtype
+        vocabulary = self.own.get_vocab(with_added_tokens=True)
+        # A byte-level vocabulary writes each byte as one character.
+        lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            lengths[number] = len(token)
+        self.encode = Remembered(self.ids, lengths).encode
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
 
 def shard_row(part: int, number: int, keys: list[int], payloads: list[bytes], width: int) -> list:
@@ -165,11 +163,11 @@ class Shard:
 _TOKENIZERS: dict[tuple[int, str], Tokenizer] = {}
 
 
-def write(docs: DataFrame, path: str, definition: str, pattern: str, end_id: int = 0) -> None:
+def write(docs: DataFrame, path: str, definition: str, end_id: int = 0) -> None:
     """Encode all texts, each with end_id after it, and write the store to path.
 
-    pattern splits a text where the tokenizer itself does, so that pieces met before need
-    not be encoded again; ids take two bytes each where the vocabulary has at most 65,536.
+    The tokenizer is a byte-level one that starts a match at a single inner space. Ids take
+    two bytes each where the vocabulary has at most 65,536.
     """
     spark = prepare(docs.sparkSession)
     import tokenizers
@@ -183,9 +181,9 @@ def write(docs: DataFrame, path: str, definition: str, pattern: str, end_id: int
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        known = (hash(shared.value), pattern)
+        known = (hash(shared.value), dtype)
         if known not in _TOKENIZERS:
-            _TOKENIZERS[known] = Tokenizer(shared.value, pattern)
+            _TOKENIZERS[known] = Tokenizer(shared.value, dtype)
         own = _TOKENIZERS[known]
         keys: list[int] = []
         payloads: list[bytes] = []
@@ -196,8 +194,8 @@ def write(docs: DataFrame, path: str, definition: str, pattern: str, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [c.split()[0] for c in COLUMNS.split(", ")])
 
         types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in COLUMNS.split(", ")]
-        for batch in batches(rows):
-            for key, ids in zip(batch.column(0).to_pylist(), own.encode([t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()], dtype)):
+        for batch in batches(rows, 2 << 20):
+            for key, ids in zip(batch.column(0).to_pylist(), own.encode([t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()])):
                 key = NULL_KEY if key is None else key
                 if held >= SHARD_BYTES and key != keys[-1]:
                     yield flush()
@@ -227,11 +225,12 @@ def read_all(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, each found through its shard's index."""
     prepare(spark)
     store = spark.read.parquet(path)
-    joined = store.join(shard_starts(store), ["part", "shard"])
+    starts = shard_starts(store)
+    joined = store.join(F.broadcast(starts) if store.count() <= BROADCAST_SHARDS else starts, ["part", "shard"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 shard = Shard(row)
                 keys = np.frombuffer(row["keys"], "<i8")
                 distinct = keys[np.r_[True, keys[1:] != keys[:-1]]]

@@ -77,7 +77,7 @@ def test_perfect_hash():
 def test_token_store(spark, make_docs, no_docs):
     rows = [*ODD, (12, "again twelve")]
     path = tokenstore.new_store(spark)
-    tokenstore.write(make_docs(rows, extra=("part", "keys")), path, DEFINITION, P.PATTERN)
+    tokenstore.write(make_docs(rows, extra=("part", "keys")), path, DEFINITION)
     own = tokenizers.Tokenizer.from_str(DEFINITION)
     own.encode_special_tokens = True
     expected = {(str(i), zlib.crc32(np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in rows}
@@ -89,5 +89,5 @@ def test_token_store(spark, make_docs, no_docs):
     found = tokenstore.lookup(spark, path, keys).collect()
     assert sorted(str(r.doc_id) for r in found) == ["10", "12", "12", "None"]
     empty = tokenstore.new_store(spark)
-    tokenstore.write(no_docs, empty, DEFINITION, P.PATTERN)
+    tokenstore.write(no_docs, empty, DEFINITION)
     assert tokenstore.read_all(spark, empty).count() == 0
