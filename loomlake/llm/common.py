@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.session import ship
+from loomlake.session import materialize, ship
 
 U64 = np.uint64
 #: An odd base for polynomial hashes modulo 2**64.
@@ -52,6 +52,21 @@ def batches(rows: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.
             yield batch.slice(at, step)
 
 
+#: Rows of one number that are broadcast at most; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def checked(ids: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has BROADCAST_ROWS rows at most; count it cheaply, as a written table."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among these (column doc_id); null ids stay."""
+    gone = checked(materialize(ids.withColumnRenamed("doc_id", "_gone"), "gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(U64)

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,18 +88,22 @@ class Sketches:
         return out
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, width: int = 5, item_col: str = "item_id") -> DataFrame:
-    """doc_id, item_id, n_shingles, n_shared for each item that a document contains."""
-    spark = prepare(docs.sparkSession)
+def blocks(items: DataFrame, item_col: str = "item_id") -> Iterator[Broadcast]:
+    """The items as (id, text) lists, each of about BLOCK_BYTES at most, broadcast in turn."""
+    spark = prepare(items.sparkSession)
     wanted = texts_of(items, item_col).withColumnRenamed("doc_id", "item_id")
     total = wanted.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-int(total) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    for number in range(n_blocks):
+        yield spark.sparkContext.broadcast([(r["item_id"], bytes(r["text"])) for r in wanted.where(block == number).toLocalIterator()])
+
+
+def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, width: int = 5, item_col: str = "item_id") -> DataFrame:
+    """doc_id, item_id, n_shingles, n_shared for each item that a document contains."""
     source = texts_of(docs)
     out = None
-    for number in range(n_blocks):
-        rows = [(r["item_id"], bytes(r["text"])) for r in wanted.where(block == number).toLocalIterator()]
-        shared = spark.sparkContext.broadcast(rows)
+    for shared in blocks(items, item_col):
 
         def run(batches_: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sketches = Sketches(shared.value, threshold, width)
@@ -111,6 +116,16 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, width:
     return out
 
 
-def flagged(docs: DataFrame, items: DataFrame, threshold: float = 0.75, width: int = 5) -> DataFrame:
-    """doc_id of the documents that contain an item, once each."""
-    return contained(docs, items, threshold, width).select("doc_id").distinct()
+def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.75, width: int = 5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text contains no item."""
+    prepare(docs.sparkSession)
+    place = docs.columns.index(text_col)
+    for shared in blocks(items):
+
+        def run(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sketches = Sketches(shared.value, threshold, width)
+            for batch in batches(rows):
+                yield batch.filter(pa.array([not sketches.found_in((t or "").encode()) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

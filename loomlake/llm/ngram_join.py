@@ -6,14 +6,18 @@ order that all documents use. The order puts shingles seen often last, the most
 the very end, so frequent lines and passages route nothing unless a document has hardly
 anything else. These first shingles are dealt out by their hash in packed arrays:
 
-1. Lists of up to LIGHT classes give all their pairs that agree in size; longer lists give
-   a star from one class, and keep their members for step 3.
-2. Candidate pairs are gathered by one of their ends, in chunks, and each is searched with
+1. Each class has a parity bitmap: bit i tells whether an odd number of its shingles fall on
+   i. Two bitmaps differ in no more bits than the sets differ in shingles, which bounds the
+   overlap from above and drops pairs that cannot reach it before any set is moved.
+2. Lists of up to LIGHT classes give all their pairs; longer lists give a star from one
+   class, and keep their members for step 4. Either way a pair counts only where the
+   shingles from this one on suffice for the overlap: it is found at the first they share.
+3. Candidate pairs are gathered by one of their ends, in chunks, and each is searched with
    DivideSkip: the inverted lists of the query's shingles over the chunk's documents; the
    shorter lists are merged with a heap, the longer are probed by binary search for those
    documents that can still reach the required overlap, which decides exactly.
-3. Long lists whose members the links have not joined yet give every pair across the
-   components left; these are searched as in step 2. Nothing is capped or dropped.
+4. Long lists whose members the links have not joined yet give every pair across the
+   components left; these are searched as in step 3. Nothing is capped or dropped.
 
 The links' connected components, over one representative a class, are the answer.
 
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 
 from loomlake.session import materialize
 
-from .common import batches, mix, prepare, shingle_set, signed, texts_of
+from .common import batches, checked, mix, prepare, shingle_set, signed, texts_of, without
 from .components import components
 
 U64 = np.uint64
@@ -46,10 +50,10 @@ U64 = np.uint64
 LIGHT = 32
 #: Shingles whose frequency decides their place in the order: what the broadcast holds at most.
 FREQUENT = 1 << 20
+#: Classes that repeat a shingle within what is counted at once, summed, from which it is ordered by frequency.
+OFTEN = 4
 #: Distinct shingles that are counted at once in a task.
 COUNTED = 2_000_000
-#: Class names that are broadcast at most; beyond, their documents are found by a join.
-BROADCAST_ROWS = 2_000_000
 CHUNK = 256
 MU = 0.01
 
@@ -58,22 +62,37 @@ def class_name(shingles: np.ndarray) -> int:
     return int(mix(np.array([mix(shingles).sum(dtype=U64) + U64(len(shingles))], U64)).view(np.int64)[0])
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    size = max(64, 1 << max(0, 2 * len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles & U64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def most_shared(n: int, m: int, a: bytes, b: bytes) -> int:
+    """No two sets of these sizes and bitmaps share more; a wider bitmap is folded onto the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (n + m - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
 def described(docs: DataFrame, width: int, id_col: str) -> DataFrame:
-    """kind 0: x doc_id, n set size, y class. kind 1: x shingle, n classes that have it, where two or more of those counted together do."""
+    """kind 0: x doc_id, n set size, y class, bits its bitmap. kind 1: x shingle, n classes that have it, where two or more of those counted together do."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         known: set[int] = set()
 
-        def row(kind: int, x, n, y) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(x, pa.int64()), pa.array(n, pa.int64()), pa.array(y, pa.int64())], ["kind", "x", "n", "y"])
+        def row(kind: int, x, n, y, bits) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(x, pa.int64()), pa.array(n, pa.int64()), pa.array(y, pa.int64()), pa.array(bits, pa.binary())], ["kind", "x", "n", "y", "bits"])
 
         def counted() -> pa.RecordBatch:
             shingle, n = np.unique(np.concatenate(held), return_counts=True)
-            return row(1, signed(shingle[n > 1]), n[n > 1], np.zeros((n > 1).sum(), np.int64))
+            return row(1, signed(shingle[n > 1]), n[n > 1], np.zeros((n > 1).sum(), np.int64), [None] * int((n > 1).sum()))
 
         for batch in batches(rows):
-            ids, sizes, names = batch.column(0).to_pylist(), [], []
+            ids, sizes, names, bits = batch.column(0).to_pylist(), [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(text, width)
                 name = class_name(shingles)
@@ -82,27 +101,30 @@ def described(docs: DataFrame, width: int, id_col: str) -> DataFrame:
                 if name not in known:
                     known.add(name)
                     held.append(shingles)
-            yield row(0, ids, sizes, names)
+                    bits.append(parity(shingles))
+                else:
+                    bits.append(None)  # the first of its class in this task has it
+            yield row(0, ids, sizes, names, bits)
             if sum(map(len, held)) > COUNTED:
                 yield counted()
                 held = []
         if held:
             yield counted()
 
-    return materialize(texts_of(docs, id_col).mapInArrow(run, "kind int, x long, n long, y long"), "sets", "kind")
+    return materialize(texts_of(docs, id_col).mapInArrow(run, "kind int, x long, n long, y long, bits binary"), "sets", "kind")
+
 
+def reachable(a: np.ndarray, b: np.ndarray, size: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row pairs that can be linked if this is the first shingle they share.
 
-def pairs_of(lists: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of equally long lists (one list a row of indexes) that agree in size."""
-    i, j = np.triu_indices(lists.shape[1], 1)
-    a, b = lists[:, i].ravel(), lists[:, j].ravel()
-    small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-    fits = 4 * small >= 3 * large
+    rest counts a set's shingles from this one on in the common order: no more can be shared.
+    """
+    fits = 7 * np.minimum(rest[a], rest[b]) >= 3 * (size[a] + size[b])
     return a[fits], b[fits]
 
 
 def candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, buckets: int, id_col: str) -> DataFrame:
-    """kind 0: a, b candidate classes. kind 1: members b, of size n, of a long list a."""
+    """kind 0: a, b candidate classes. kind 1: members b, of size n and with rest left, of a long list a."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +139,12 @@ def candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width:
             order = np.argsort(cell, kind="stable")
             name = np.repeat(np.array([c for _, c, _ in held], np.int64), lengths)[order]
             size = np.repeat(np.array([n for _, _, n in held], np.uint32), lengths)[order]
+            rest = np.concatenate([np.arange(n, n - k, -1) for (_, _, n), k in zip(held, lengths)]).astype(np.uint32)[order]
             low = (h & U64(0xFFFFFFFF)).astype(np.uint32)[order]
             found, first = np.unique(cell[order], return_index=True)
             cuts = [*first.tolist(), len(order)]
-            cols = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for x in (low, name, size)]
-            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "low", "name", "size"])
+            cols = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for x in (low, name, size, rest)]
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "low", "name", "size", "rest"])
 
         total = 0
         for batch in batches(rows):
@@ -152,11 +175,11 @@ def candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width:
             yield flush()
 
     def meet(group: pa.Table) -> pa.Table:
-        low, name, size = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("low", np.uint32), ("name", np.int64), ("size", np.uint32)))
-        order = np.lexsort((name, low))
-        low, name, size = low[order], name[order], size[order].astype(np.int64)
+        low, name, size, rest = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("low", np.uint32), ("name", np.int64), ("size", np.uint32), ("rest", np.uint32)))
+        order = np.lexsort((-rest.astype(np.int64), name, low))
+        low, name, size, rest = low[order], name[order], size[order].astype(np.int64), rest[order].astype(np.int64)
         new = np.r_[True, (low[1:] != low[:-1]) | (name[1:] != name[:-1])]
-        low, name, size = low[new], name[new], size[new]
+        low, name, size, rest = low[new], name[new], size[new], rest[new]
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         count = np.diff(np.r_[first, len(low)])
         out_a, out_b, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
@@ -164,12 +187,12 @@ def candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width:
             starts = first[count == m]
             rows = starts[:, None] + np.arange(m)
             if m <= LIGHT:
-                a, b = pairs_of(rows, size)
+                i, j = np.triu_indices(m, 1)
+                a, b = rows[:, i].ravel(), rows[:, j].ravel()
             else:
                 members.append(rows)
                 a, b = np.repeat(starts, m - 1), rows[:, 1:].ravel()
-                fits = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
-                a, b = a[fits], b[fits]
+            a, b = reachable(a, b, size, rest)
             out_a.append(name[a])
             out_b.append(name[b])
         a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -181,10 +204,10 @@ def candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width:
         bucket = group.column("bucket")[0].as_py()
         where = np.concatenate([r.ravel() for r in members]) if members else np.zeros(0, np.int64)
         kind = np.r_[np.zeros(len(a), np.int32), np.ones(len(where), np.int32)].astype(np.int32)
-        return pa.table({"kind": kind, "a": np.r_[a, low[where].astype(np.int64) * buckets + bucket], "b": np.r_[b, name[where]], "n": np.r_[np.zeros(len(a), np.int64), size[where]]})
+        return pa.table({"kind": kind, "a": np.r_[a, low[where].astype(np.int64) * buckets + bucket], "b": np.r_[b, name[where]], "n": np.r_[np.zeros(len(a), np.int64), size[where]], "rest": np.r_[np.zeros(len(a), np.int64), rest[where]]})
 
-    dealt = texts_of(docs, id_col).mapInArrow(deal, "bucket int, low binary, name binary, size binary")
-    met = dealt.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, n long")
+    dealt = texts_of(docs, id_col).mapInArrow(deal, "bucket int, low binary, name binary, size binary, rest binary")
+    met = dealt.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, n long, rest long")
     return materialize(met, "candidates", "kind")
 
 
@@ -225,6 +248,36 @@ def divide_skip(query: np.ndarray, others: list[np.ndarray]) -> list[int]:
     return linked
 
 
+def plausible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The pairs a, b whose bitmaps allow the overlap that they need."""
+    left = bitmaps.withColumnsRenamed({"name": "a", "n": "na", "bits": "bits_a"})
+    right = bitmaps.withColumnsRenamed({"name": "b", "n": "nb", "bits": "bits_b"})
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+
+    def bound(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            keep = [7 * most_shared(n, m, x, y) >= 3 * (n + m) for n, m, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[:2]], ["a", "b"])
+
+    return materialize(both.mapInArrow(bound, "a long, b long"), "plausible")
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, id_col: str) -> DataFrame:
+    """name, shingles (ascending hashes) of the classes in these pairs, from one document each."""
+    wanted = pairs.select(F.col("a").alias("name")).unionAll(pairs.select(F.col("b").alias("name"))).distinct()
+    ids = materialize(wanted.join(classes, "name").select("class_id"), "wanted")
+    source = texts_of(docs, id_col)
+    picked = source.join(checked(ids), source["doc_id"] == F.col("class_id"), "left_semi")
+
+    def hashed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows):
+            sets_ = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([class_name(s) for s in sets_], pa.int64()), pa.array([s.tobytes() for s in sets_], pa.binary())], ["name", "shingles"])
+
+    return materialize(picked.mapInArrow(hashed, "name long, shingles binary"), "shingles")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b of classes that are linked."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("k"))
@@ -263,7 +316,7 @@ def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
     base = described(docs, width, id_col)
     rows = base.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("y").alias("name"))
     classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("class_id"))
-    top = base.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= LIGHT).orderBy(F.desc("n"), "x").limit(FREQUENT).toPandas()
+    top = base.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "x").limit(FREQUENT).toPandas()
     shingle = top["x"].to_numpy(np.int64).view(U64)
     order = np.argsort(shingle)
     frequent = shingle[order], (len(top) - np.arange(len(top)))[order].astype(np.int32)
@@ -272,21 +325,15 @@ def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
     known = docs.where(F.col(id_col).isNotNull())
     found = candidates(known, frequent, width, buckets, id_col)
     pairs = found.where("kind = 0").select("a", "b").distinct()
-    members = found.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("name"), "n")
+    members = found.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("name"), "n", "rest")
 
-    wanted = pairs.select(F.col("a").alias("name")).unionAll(pairs.select(F.col("b").alias("name"))).unionAll(members.select("name")).distinct()
-    ids = materialize(wanted.join(classes, "name").select("class_id"), "wanted")
-    ids_side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    source = texts_of(known, id_col)
-    picked = source.join(ids_side, source["doc_id"] == F.col("class_id"), "left_semi")
+    bitmaps = base.where("kind = 0 AND bits IS NOT NULL").groupBy(F.col("y").alias("name")).agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
-    def hashed(rows_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows_):
-            sets_ = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([class_name(s) for s in sets_], pa.int64()), pa.array([s.tobytes() for s in sets_], pa.binary())], ["name", "shingles"])
+    def search(asked: DataFrame) -> DataFrame:
+        likely = plausible(asked, bitmaps)
+        return materialize(verified(likely, sets_of(known, classes, likely, width, id_col)), "links")
 
-    sets = materialize(picked.mapInArrow(hashed, "name long, shingles binary"), "shingles").dropDuplicates(["name"])
-    links = materialize(verified(pairs, sets), "links")
+    links = search(pairs)
 
     def labelled(linked: DataFrame) -> DataFrame:
         ends = linked.join(classes.withColumnsRenamed({"name": "a", "class_id": "ca"}), "a").join(classes.withColumnsRenamed({"name": "b", "class_id": "cb"}), "b")
@@ -300,9 +347,24 @@ def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
         open_ = placed.join(split, "list")
         if open_.limit(1).count():
             left, right = open_.alias("l"), open_.alias("r")
-            across = left.join(right, F.expr("l.list = r.list AND l.name < r.name AND l.label <> r.label AND 4 * least(l.n, r.n) >= 3 * greatest(l.n, r.n)"))
+            across = left.join(right, F.expr("l.list = r.list AND l.name < r.name AND l.label <> r.label AND 7 * least(l.rest, r.rest) >= 3 * (l.n + r.n)"))
             more = across.select(F.col("l.name").alias("a"), F.col("r.name").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-            links = links.unionAll(materialize(verified(more, sets), "links"))
+            links = links.unionAll(search(more))
             joined = labelled(links)
     answer = rows.join(classes, "name", "left").join(joined, F.col("class_id") == F.col("node"), "left")
     return answer.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, with all their columns, that stay: of each component the one with the smallest id.
+
+    Rows with a null id stay; of rows with one id, one stays.
+    """
+    found = materialize(join(docs, width, id_col).select("doc_id", "component_id"), "components")
+    several = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    out = without(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), id_col)
+    if several.limit(1).count():
+        once = docs.join(several, docs[id_col] == several["doc_id"], "left_semi").dropDuplicates([id_col])
+        kept = found.where("doc_id = component_id").select("doc_id").distinct()
+        out = without(out, several, id_col).unionAll(once.join(kept, once[id_col] == kept["doc_id"], "left_semi"))
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlake.session import table
 
-from . import bpe, decontaminate, langid, ngram_join, sharding, tokenstore, toxicity
+from . import bpe, decontaminate, langid, ngram_join, sharding, suffix_dedup, tokenstore, toxicity
 from .common import held_out
 
 
@@ -39,6 +39,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", "predicted")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedupe(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(langid.training_rows(docs))
@@ -65,10 +70,17 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_all(spark, path)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_langid": op7_langid,
     "op8_ngram_join": op8_ngram_join,
     "op9_sharding": op9_sharding,
@@ -96,7 +108,7 @@ FROM du JOIN bu USING (g) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

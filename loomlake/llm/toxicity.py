@@ -280,6 +280,30 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return Model(weights, bias, logistic, marks)
 
 
+def probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
+    key = hash(model.weights.tobytes())
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model.weights, model.bias)
+    x = _SCORERS[key].features(texts)
+    return 1 / (1 + np.exp(-np.clip(x @ model.logistic[:-1] + model.logistic[-1], -30, 30)))
+
+
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic."""
+    if model is None:
+        return docs
+    spark = prepare(docs.sparkSession)
+    shared, place = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows, 2 << 20):
+            p = probabilities(shared.value, [(t or "").encode() for t in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from 0.5 on)."""
     source = texts_of(docs, id_col)
@@ -288,14 +312,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        key = hash(own.weights.tobytes())
-        if key not in _SCORERS:
-            _SCORERS[key] = Scorer(own.weights, own.bias)
-        scorer = _SCORERS[key]
         for batch in batches(rows, 2 << 20):
-            x = scorer.features(batch.column(1).to_pylist())
-            p = 1 / (1 + np.exp(-np.clip(x @ own.logistic[:-1] + own.logistic[-1], -30, 30)))
+            p = probabilities(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return source.mapInArrow(run, "doc_id long, score double, predicted int")
