@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlake.session import table
 
-from . import bpe, decontaminate, langid, ngram_join, sharding, suffix_dedup, tokenstore, toxicity
+from . import bpe, decontaminate, langid, media, ngram_join, sharding, suffix_dedup, tokenstore, toxicity
 from .common import held_out
 
 
@@ -39,6 +39,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", "predicted")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.read(media.store(table(spark, sf_dir, "documents")), tensors=False)
+    return found.drop("tensor")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.dedupe(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
+    "op5_media": op5_media,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_langid": op7_langid,
     "op8_ngram_join": op8_ngram_join,
