@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlake.session import table
 
-from . import bpe, decontaminate, langid, media, ngram_join, sharding, suffix_dedup, tokenstore, toxicity
+from . import bpe, decontaminate, langid, lm, media, ngram_join, sharding, suffix_dedup, tokenstore, toxicity
 from .common import held_out
 
 
@@ -28,6 +28,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts, words, parameters = lm.fit(lm.training_rows(docs))
+    found = lm.score(docs, counts, words, parameters)
+    return found.select("doc_id", held_out("doc_id", 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
@@ -83,6 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_lm": op2_lm,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op5_media": op5_media,
