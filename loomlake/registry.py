@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from loomlake.plans import queries as plan_queries
+
+MODULES = (plan_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
