@@ -5,6 +5,8 @@ Reading YAML needs Python; everything after the nodes is column work on one row
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,6 @@ BOOLEANS = "y yes true on n no false off".split()
 
 def _is_text(tag: str | None, plain: bool, value: str) -> bool:
     """Whether a scalar is a string: by quotes or tag, or because it is no boolean and no number."""
-    import re
-
     if not plain or tag == "tag:yaml.org,2002:str":
         return True
     if tag is not None:
@@ -41,18 +41,24 @@ def _nodes(text: str, root: str):
     """Whether it parses, the first key error in document order, and the nodes that are needed."""
     import yaml
 
+    class Loader(yaml.SafeLoader):
+        def compose_scalar_node(self, anchor):
+            given = self.peek_event().tag
+            node = super().compose_scalar_node(anchor)
+            node.given = given  # the tag as written, before any is inferred
+            return node
+
     try:
-        top = yaml.compose(text, Loader=yaml.SafeLoader)
+        top = yaml.compose(text, Loader=Loader)
     except (yaml.YAMLError, ValueError):
         return False, None, {}
     nodes: dict[str, tuple] = {}
 
     def take(path: str, node) -> None:
         if isinstance(node, yaml.ScalarNode):
-            event_plain = node.style is None
-            explicit = node.tag if not node.tag.startswith("tag:yaml.org,2002:") or node.tag == "tag:yaml.org,2002:str" and not event_plain else None
-            is_null = event_plain and node.tag == "tag:yaml.org,2002:null"
-            nodes[path] = ("null" if is_null else "scalar", node.value, _is_text(explicit, event_plain, node.value))
+            plain = node.style is None
+            is_null = plain and node.tag == "tag:yaml.org,2002:null"
+            nodes[path] = ("null" if is_null else "scalar", node.value, _is_text(node.given, plain, node.value))
         else:
             nodes[path] = ("mapping" if isinstance(node, yaml.MappingNode) else "sequence", None, False)
 

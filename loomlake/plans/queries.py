@@ -150,7 +150,6 @@ def lifecycle_fold(spark: SparkSession, sf: str) -> DataFrame:
 _LIFECYCLE_SQL = """
 WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
   ['listener', 'ready', 'shutdown', 'stopped'][(event_id % 4 + 1)::INT] AS kind, floor(value) AS v FROM events),
-recursive_fold AS (SELECT 1),
 f AS (SELECT user_id, list_reduce(list_prepend({'s': 'stopped', 'n': 0::BIGINT, 'u': 0.0::DOUBLE, 'd': 0::BIGINT, 'k': '', 'v': 0.0::DOUBLE},
     list({'s': '', 'n': 0::BIGINT, 'u': 0.0::DOUBLE, 'd': 0::BIGINT, 'k': kind, 'v': v::DOUBLE} ORDER BY i)),
   lambda a, b: {'s': CASE WHEN b.k = 'listener' THEN 'live' WHEN b.k = 'ready' AND a.s = 'live' THEN 'ready'
@@ -272,10 +271,8 @@ def workflow_pins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def templates(spark: SparkSession, sf: str) -> DataFrame:
-    values = table(spark, sf, "events").groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.lit(None).cast("string").alias("v")))).alias("_m"))
     last = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).cast("string").alias("v"))
     variables = last.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "v")))).alias("vars"))
-    del values
     return variables.select("user_id", dependencies.substituted(F.lit("c=${click};v=${view}"), F.col("vars")).alias("filled"))
 
 
@@ -356,7 +353,7 @@ def _package_rules(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation")
     label = lambda c: F.concat(F.lit("//src/"), F.col(c), F.lit(":lib"))
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
-    orders = table(spark, sf, "orders").where(F.col("o_orderkey") % 97 == 0).select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     joined = orders.join(table(spark, sf, "customer"), "c_custkey").join(items, "o_orderkey").join(table(spark, sf, "supplier"), "s_suppkey")
     named = joined.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("a")), "c_nationkey").join(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("b")), "s_nationkey")
     return named.groupBy("c_mktsegment", label("a").alias("name")).agg(F.collect_set(label("b")).alias("inputs"))
