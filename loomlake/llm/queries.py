@@ -117,6 +117,26 @@ WITH {_shingled("d", "documents", "doc_id")}, {_shingled("b", "benchmark", "item
 du AS (SELECT doc_id, unnest(s) AS g FROM d), bu AS (SELECT item_id, len(s) AS n_shingles, unnest(s) AS g FROM b)
 SELECT doc_id, item_id, n_shingles::BIGINT AS n_shingles, count(*) AS n_shared, count(*)::DOUBLE / n_shingles AS containment
 FROM du JOIN bu USING (g) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.75 * n_shingles
+""",
+    "op6_suffix_dedup": """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+r AS MATERIALIZED (SELECT doc_id, p FROM w JOIN f USING (s) WHERE doc_id > first),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, p + k AS b FROM r, range(50) AS t(k)),
+c AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (start) AS n_spans FROM (SELECT doc_id, b, b - 1 IS DISTINCT FROM lag(b) OVER (PARTITION BY doc_id ORDER BY b) AS start FROM g) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * b + 1, 2), '' ORDER BY b) AS left_over FROM (SELECT doc_id, h, unnest(range(len(h) // 2)) AS b FROM d SEMI JOIN c USING (doc_id)) ANTI JOIN g USING (doc_id, b) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(left_over, '') END)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
+    "op8_ngram_join": f"""
+WITH RECURSIVE {_shingled("d", "documents", "doc_id")}, u AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM d),
+l AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM d a JOIN d b ON list_sort(a.s) = list_sort(b.s) WHERE len(a.s) > 0),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT d.doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(y) FROM r WHERE r.x = d.doc_id) AS component_id,
+  coalesce((SELECT min(y) FROM e WHERE e.x = d.doc_id), d.doc_id) AS class_id FROM d
 """,
 }
 
