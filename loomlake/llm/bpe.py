@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batches, texts_of
+from .common import batches, kept, texts_of
 from .pieces import Remembered
 
 SHORT = 32
@@ -210,15 +210,9 @@ class Codec:
         return b"".join(map(self.ranks.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
-
-
 def codec(data: bytes, pattern: str) -> Codec:
     """One codec a Python worker for each vocabulary."""
-    key = (hash(data), pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(data, pattern)
-    return _CODECS[key]
+    return kept("bpe", (hash(data), pattern), lambda: Codec(data, pattern))
 
 
 def encode(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Ship the code and keep Arrow batches small: whole texts may be long."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 
@@ -44,6 +46,28 @@ def held_out(id_col: str, remainder: int):
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5) == remainder
 
 
+#: What a Python worker keeps between tasks, of one operator at a time.
+_KEPT: dict[str, object] = {}
+
+
+def kept(kind: str, key: object, make):
+    """The value of make() for this key, kept in the worker until another operator needs the room."""
+    if _KEPT.get("kind") != (kind, key):
+        release()
+        _KEPT.update(kind=(kind, key), value=make())
+    return _KEPT["value"]
+
+
+def release() -> None:
+    """Gives back what the worker has kept; Spark uses workers again for other operators."""
+    _KEPT.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: its memory is then used again, if not returned
+
+
 def batches(rows: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about so many bytes, so that memory follows the piece."""
     for batch in rows:
@@ -61,6 +85,29 @@ def checked(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def most_frequent(rows: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows with the highest counts, limit at most: whole steps of a sixteenth of an octave.
+
+    Only a count for each step, some hundred numbers, is gathered to find where to stop.
+    """
+    step = F.floor(F.log2(count) * 16).cast("int")
+    taken, lowest = 0, None
+    for row in rows.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        taken += row["count"]
+        if taken > limit:
+            break
+        lowest = row["step"]
+    return rows.where(step >= lowest) if lowest is not None else rows.where("false")
+
+
+def share_of(rows: DataFrame, wanted: int, *cols: str) -> DataFrame:
+    """About so many rows, or all where there are fewer: those with the lowest hashes of these columns."""
+    n = rows.count()
+    if n <= wanted:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(*cols), F.lit(1 << 31)) < int((1 << 31) * wanted / n))
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows whose id is not among these (column doc_id); null ids stay."""
     gone = checked(materialize(ids.withColumnRenamed("doc_id", "_gone"), "gone"))

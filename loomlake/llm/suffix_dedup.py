@@ -35,15 +35,16 @@ from pyspark.sql import types as T
 
 from loomlake.session import materialize
 
-from .common import BASE, batches, mix, prepare, texts_of
+from .common import BASE, batches, mix, prepare, release, texts_of
 
 U64 = np.uint64
 LENGTH = 50
 ANCHOR = 16
 #: Bytes of text that one partition of documents holds.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 8 << 20
 SHALLOW_WORDS = 4
-HELD = 1_000_000
+#: Anchors that are gathered before they are dealt out.
+HELD = 300_000
 _REACH = LENGTH - ANCHOR
 
 
@@ -270,6 +271,7 @@ def dedupe(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
     placed = source.select("doc_id", "text", row, F.pmod(row, F.lit(parts)).cast("int").alias("part"), *(["carried"] if carry else []))
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held_h: list[np.ndarray] = []
         held_p: list[int] = []
         held_d: list[int] = []
@@ -333,6 +335,7 @@ def dedupe(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
     shared = materialize(dealt.groupBy("bucket").applyInArrow(meet, "part int, keys binary"), "shared-anchors")
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         keys = np.unique(np.frombuffer(b"".join(right.column("keys").to_pylist()), "<u8"))
         found = []
         if len(keys):
@@ -363,6 +366,7 @@ def dedupe(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
         })
 
     def compare(group: pa.Table) -> pa.Table:
+        release()
         found = [unpacked(x, _record(length)) for x in group.column("records").to_pylist() if x]
         records = np.concatenate(found) if found else np.zeros(0, _record(length))
         passed = [(p, f) for p, f in zip(group.column("part").to_pylist(), group.column("flags").to_pylist()) if f]
@@ -379,6 +383,7 @@ def dedupe(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
         return pa.table({"part": pa.array([p for p, _ in passed], pa.int32()), "flags": pa.array([f for _, f in passed], pa.binary())})
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         flags = np.frombuffer(b"".join(right.column("flags").to_pylist()), _FLAG)
         flags = flags[np.argsort(flags["row"], kind="stable")]
         shift = np.arange(length - ANCHOR + 1)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomlake.session import scratch
 
-from .common import batches, mix, prepare, texts_of
+from .common import batches, kept, mix, prepare, texts_of
 from .pieces import Remembered
 
 U64 = np.uint64
@@ -160,9 +160,6 @@ class Shard:
         return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
-_TOKENIZERS: dict[tuple[int, str], Tokenizer] = {}
-
-
 def write(docs: DataFrame, path: str, definition: str, end_id: int = 0) -> None:
     """Encode all texts, each with end_id after it, and write the store to path.
 
@@ -181,10 +178,7 @@ def write(docs: DataFrame, path: str, definition: str, end_id: int = 0) -> None:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        known = (hash(shared.value), dtype)
-        if known not in _TOKENIZERS:
-            _TOKENIZERS[known] = Tokenizer(shared.value, dtype)
-        own = _TOKENIZERS[known]
+        own = kept("tokenizer", (hash(shared.value), dtype), lambda: Tokenizer(shared.value, dtype))
         keys: list[int] = []
         payloads: list[bytes] = []
         held = 0

@@ -12,7 +12,7 @@ function is one weight a subsequence, which scores a string in one pass without
 A document's score is a logistic function of its highest string margins and of the number
 of positive ones, fitted on the same labelled documents. Every token of the whole text counts.
 
-The labelled sample is bounded by SAMPLE_DOCS (chosen in the order of a hash of the id) and
+The labelled sample is bounded by about SAMPLE_DOCS (those with the lowest hashes of the id) and
 its strings by SAMPLE_STRINGS; scoring covers all rows.
 
 Cases: null text is empty and scored as a text without any toxic string; where no label (or
@@ -31,15 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, held_out, prepare, texts_of
+from .common import batches, held_out, kept, prepare, share_of, texts_of
 
 SAMPLE_DOCS = 20_000
-SAMPLE_STRINGS = 60_000
+SAMPLE_STRINGS = 40_000
+#: Positive strings, and clean ones close to them, that landmarks are chosen from.
+POSITIVE = 400
 LANDMARKS = 128
+#: Weight of the squared norm against the losses of the strings, of which either class weighs 1,000 and 3,000.
+RIDGE = 1.0
 FEATURES = 7
 DECAY = 0.7
 LONGEST = 16
-CACHE = 400_000
+CACHE = 250_000
 EDGES = b" .,;:!?\"'()[]{}<>-*_`~#/\\|$%&@^+="
 _SET_APART = re.compile(rb"(?<![^\x20\x09-\x0d])(?:[^\x20\x09-\x0d][\x20\x09-\x0d]){2,}[^\x20\x09-\x0d](?![^\x20\x09-\x0d])")
 
@@ -95,30 +99,51 @@ def by_length(strings: list[bytes], block: int = 4000) -> Iterator[tuple[np.ndar
             yield part, _ALPHABET[raw]
 
 
-def weigh(strings: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """Normalised sum over the subsequences of each string of these weights, (2**18,) or (2**18, k)."""
-    out = np.zeros((len(strings), *weights.shape[1:]), np.float32)
-    for rows, letters in by_length(strings):
-        at, decay = triples(letters.shape[1])
-        code = letters[:, at[:, 0]] << 12 | letters[:, at[:, 1]] << 6 | letters[:, at[:, 2]]
-        norm = np.sqrt(self_kernel(letters))
-        if weights.ndim == 1:
-            out[rows] = weights[code] @ decay / norm
-        else:
-            for i, (row, codes) in enumerate(zip(rows.tolist(), code)):
-                out[row] = decay @ weights[codes] / norm[i]
-    return out
+def _codes(letters: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return letters[:, at[:, 0]] << 12 | letters[:, at[:, 1]] << 6 | letters[:, at[:, 2]]
 
 
-def subsequences(strings: list[bytes]) -> np.ndarray:
-    """Normalised subsequence weights of each string, as columns over all 2**18 subsequences."""
-    out = np.zeros((1 << 18, len(strings)), np.float32)
+@dataclass
+class Subsequences:
+    """Normalised subsequence weights of some strings: a column each, rows for the codes that occur; row 0 is zero."""
+
+    place: np.ndarray
+    columns: np.ndarray
+
+    @classmethod
+    def of(cls, strings: list[bytes]) -> Subsequences:
+        found = [(rows, _codes(letters, triples(letters.shape[1])[0]), letters) for rows, letters in by_length(strings)]
+        codes = np.unique(np.concatenate([c.ravel() for _, c, _ in found])) if found else np.zeros(0, np.int64)
+        place = np.zeros(1 << 18, np.int32)
+        place[codes] = np.arange(1, len(codes) + 1)
+        columns = np.zeros((len(codes) + 1, len(strings)), np.float32)
+        for rows, code, letters in found:
+            decay, norm = triples(letters.shape[1])[1], np.sqrt(self_kernel(letters))
+            for i, row in enumerate(rows.tolist()):
+                np.add.at(columns[:, row], place[code[i]], decay / norm[i])
+        return cls(place, columns)
+
+    def kernel(self) -> np.ndarray:
+        return self.columns.T @ self.columns
+
+    def of_others(self, strings: list[bytes]) -> np.ndarray:
+        """The kernel of these strings with each column's string."""
+        out = np.zeros((len(strings), self.columns.shape[1]), np.float32)
+        for rows, letters in by_length(strings):
+            at, decay = triples(letters.shape[1])
+            code, norm = self.place[_codes(letters, at)], np.sqrt(self_kernel(letters))
+            for i, row in enumerate(rows.tolist()):
+                hit = code[i] > 0
+                out[row] = decay[hit] @ self.columns[code[i][hit]] / norm[i]
+        return out
+
+
+def weigh(strings: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """Normalised sum over the subsequences of each string of these 2**18 weights."""
+    out = np.zeros(len(strings), np.float32)
     for rows, letters in by_length(strings):
         at, decay = triples(letters.shape[1])
-        code = letters[:, at[:, 0]] << 12 | letters[:, at[:, 1]] << 6 | letters[:, at[:, 2]]
-        norm = np.sqrt(self_kernel(letters))
-        for i, row in enumerate(rows.tolist()):
-            np.add.at(out[:, row], code[i], decay / norm[i])
+        out[rows] = weights[_codes(letters, at)] @ decay / np.sqrt(self_kernel(letters))
     return out
 
 
@@ -185,26 +210,25 @@ def fit_strings(table: list[tuple[bytes, int, int]], n_toxic: int) -> tuple[np.n
     if not positive or not negative:
         return None
     positive.sort(key=lambda x: (-x[1], x[0]))
-    strings = [s for s, _ in positive][:500]
-    kernel = subsequences(strings)
-    marks = [strings[i] for i in spread(kernel.T @ kernel, LANDMARKS * 5 // 8)]
+    strings = [s for s, _ in positive][:POSITIVE]
+    marks = [strings[i] for i in spread(Subsequences.of(strings).kernel(), LANDMARKS * 5 // 8)]
     others = [s for s, _ in negative]
-    near = weigh(others, subsequences(marks)).max(1)
-    close = [others[i] for i in np.argsort(-near, kind="stable")[:400].tolist()]
-    kernel = subsequences(close)
-    marks += [close[i] for i in spread(kernel.T @ kernel, LANDMARKS - len(marks))]
-    basis = subsequences(marks)
-    values, vectors = np.linalg.eigh((basis.T @ basis).astype(np.float64))
+    near = Subsequences.of(marks).of_others(others).max(1)
+    close = [others[i] for i in np.argsort(-near, kind="stable")[:POSITIVE].tolist()]
+    marks += [close[i] for i in spread(Subsequences.of(close).kernel(), LANDMARKS - len(marks))]
+    basis = Subsequences.of(marks)
+    values, vectors = np.linalg.eigh(basis.kernel().astype(np.float64))
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])
     varied = [(v, t / 8) for s, t in positive if t >= 2 * least for v in spellings(s)]
     rows_x = [*strings, *(v for v, _ in varied), *others]
     y = np.r_[np.ones(len(strings) + len(varied)), -np.ones(len(others))]
-    weight = np.r_[[float(t) for _, t in positive[:500]], [t for _, t in varied], np.sqrt([float(n) for _, n in negative])]
+    weight = np.r_[[float(t) for _, t in positive[:POSITIVE]], [t for _, t in varied], np.sqrt([float(n) for _, n in negative])]
     for sign in (1, -1):
         weight[y == sign] *= 1000 * (1 if sign > 0 else 3) / weight[y == sign].sum()
-    w = newton(weigh(rows_x, basis) @ root, y, weight, 1.0, True)
-    return (basis @ (root @ w[:-1])).astype(np.float32), float(w[-1]), marks
+    w = newton(basis.of_others(rows_x) @ root, y, weight, RIDGE, True)
+    weights = basis.columns @ (root @ w[:-1])
+    return weights[basis.place].astype(np.float32), float(w[-1]), marks
 
 
 class Scorer:
@@ -236,15 +260,12 @@ class Scorer:
         return np.clip(out, -1.5, 6)
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fits on at most SAMPLE_DOCS labelled documents; None where one class is missing."""
+    """Fits on about SAMPLE_DOCS labelled documents at most; None where one class is missing."""
     spark = prepare(docs.sparkSession)
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    # At most SAMPLE_DOCS rows of two numbers.
+    sample = share_of(marked, SAMPLE_DOCS, "doc_id")
+    # About SAMPLE_DOCS rows of two numbers.
     known = texts_of(docs.where(F.col("text").isNotNull())).join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,11 +302,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
-    key = hash(model.weights.tobytes())
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model.weights, model.bias)
-    x = _SCORERS[key].features(texts)
+    scorer = kept("toxicity", hash(model.weights.tobytes()), lambda: Scorer(model.weights, model.bias))
+    x = scorer.features(texts)
     return 1 / (1 + np.exp(-np.clip(x @ model.logistic[:-1] + model.logistic[-1], -30, 30)))
 
 

@@ -80,8 +80,10 @@ def brute_kernel(s, t):
 
 def test_kernel_against_enumeration():
     strings = [b"idiot", b"i.d.i.o.t", b"idiiot", b"banana", b"aaaa", b"the"]
-    columns = toxicity.subsequences(strings)
-    got = toxicity.weigh(strings, columns)
+    found = toxicity.Subsequences.of(strings)
+    got = found.of_others(strings)
+    assert np.allclose(got, found.kernel(), atol=1e-5)
+    assert np.allclose(toxicity.weigh(strings, found.columns[found.place, 1]), got[:, 1], atol=1e-5)
     for i, s in enumerate(strings):
         for j, t in enumerate(strings):
             assert got[i, j] == pytest.approx(brute_kernel(s, t), abs=1e-5)
