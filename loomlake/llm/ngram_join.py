@@ -16,8 +16,9 @@ anything else. These first shingles are dealt out by their hash in packed arrays
    DivideSkip: the inverted lists of the query's shingles over the chunk's documents; the
    shorter lists are merged with a heap, the longer are probed by binary search for those
    documents that can still reach the required overlap, which decides exactly.
-4. Long lists whose members the links have not joined yet give every pair across the
-   components left; these are searched as in step 3. Nothing is capped or dropped.
+4. In long lists whose members the links have not joined yet, those outside the largest
+   component meet some others in a random order, for a few rounds; then every pair across
+   the components left is searched as in step 3. Nothing is capped or dropped.
 
 The links' connected components, over one representative a class, are the answer.
 
@@ -37,12 +38,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.session import materialize
 
-from .common import batches, checked, mix, prepare, shingle_set, signed, texts_of, without
+from .common import batches, checked, mix, most_frequent, prepare, release, shingle_set, signed, texts_of, without
 from .components import components
 
 U64 = np.uint64
@@ -53,8 +54,12 @@ FREQUENT = 1 << 20
 #: Classes that repeat a shingle within what is counted at once, summed, from which it is ordered by frequency.
 OFTEN = 4
 #: Distinct shingles that are counted at once in a task.
-COUNTED = 2_000_000
+COUNTED = 600_000
 CHUNK = 256
+#: Rounds in which members of long lists meet some others, before all that are not joined by then meet.
+ROUNDS = 1
+#: What pairs of members l and r of a list must reach, as in reachable().
+REACHABLE = "7 * least(l.rest, r.rest) >= 3 * (l.n + r.n)"
 MU = 0.01
 
 
@@ -81,6 +86,7 @@ def described(docs: DataFrame, width: int, id_col: str) -> DataFrame:
     """kind 0: x doc_id, n set size, y class, bits its bitmap. kind 1: x shingle, n classes that have it, where two or more of those counted together do."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[np.ndarray] = []
         known: set[int] = set()
 
@@ -128,6 +134,7 @@ def candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width:
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         often, rank = shared.value
         known: set[int] = set()
         held: list[tuple[np.ndarray, int, int]] = []
@@ -175,6 +182,7 @@ def candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width:
             yield flush()
 
     def meet(group: pa.Table) -> pa.Table:
+        release()
         low, name, size, rest = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("low", np.uint32), ("name", np.int64), ("size", np.uint32), ("rest", np.uint32)))
         order = np.lexsort((-rest.astype(np.int64), name, low))
         low, name, size, rest = low[order], name[order], size[order].astype(np.int64), rest[order].astype(np.int64)
@@ -286,6 +294,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     query = chunked.select("a", "chunk").distinct().join(sets.select(F.col("name").alias("a"), "shingles"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles")
 
     def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         current, query_, names, others = None, None, [], []
 
         def done() -> pa.RecordBatch:
@@ -310,13 +319,29 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return blocks.mapInArrow(search, "a long, b long")
 
 
+def _met(own: DataFrame, step: int) -> DataFrame:
+    """list, l, r: members outside the largest component of their list meet the next ones in a random order.
+
+    They meet as many as make no more rows than there are members, 64 at most.
+    """
+    largest = own.groupBy("list", "l.label").count().groupBy("list").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.sum("count").alias("size"))
+    at = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("l.name", "list", F.lit(step)), "l.name"))
+    placed = materialize(own.withColumn("at", at).join(largest, "list"), "placed")
+    outside = placed.where("l.label <> major")
+    partners = max(1, min(64, placed.count() // max(1, outside.count())))
+    asked = outside.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(partners)))).where("k < size")
+    asked = asked.select("list", "l", ((F.col("at") - 1 + F.col("k")) % F.col("size") + 1).alias("at"))
+    return asked.join(placed.select("list", "at", F.col("l").alias("r")), ["list", "at"]).where("l.label <> r.label")
+
+
 def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
     spark = prepare(docs.sparkSession)
     base = described(docs, width, id_col)
     rows = base.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("y").alias("name"))
     classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("class_id"))
-    top = base.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "x").limit(FREQUENT).toPandas()
+    counted = materialize(base.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN), "frequent")
+    top = most_frequent(counted, "n", FREQUENT).toPandas().sort_values(["n", "x"], ascending=[False, True])
     shingle = top["x"].to_numpy(np.int64).view(U64)
     order = np.argsort(shingle)
     frequent = shingle[order], (len(top) - np.arange(len(top)))[order].astype(np.int32)
@@ -340,17 +365,19 @@ def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
         return components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
     joined = labelled(links)
-    if members.limit(1).count():
+    for step in range(ROUNDS + 1):
         ids_of = classes.join(joined, classes["class_id"] == joined["node"], "left").select("name", F.coalesce("component", "class_id").alias("label"))
         placed = materialize(members.join(ids_of, "name"), "long-lists")
         split = placed.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("list")
-        open_ = placed.join(split, "list")
-        if open_.limit(1).count():
-            left, right = open_.alias("l"), open_.alias("r")
-            across = left.join(right, F.expr("l.list = r.list AND l.name < r.name AND l.label <> r.label AND 7 * least(l.rest, r.rest) >= 3 * (l.n + r.n)"))
-            more = across.select(F.col("l.name").alias("a"), F.col("r.name").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-            links = links.unionAll(search(more))
-            joined = labelled(links)
+        members = materialize(placed.join(split, "list"), "long-lists")
+        if not members.limit(1).count():
+            break
+        own = members.select("list", F.struct("name", "n", "rest", "label").alias("l"))
+        both = _met(own, step) if step < ROUNDS else own.join(own.withColumnRenamed("l", "r"), "list").where("l.name < r.name AND l.label <> r.label")
+        more = both.where(REACHABLE).select(F.least("l.name", "r.name").alias("a"), F.greatest("l.name", "r.name").alias("b")).distinct()
+        links = links.unionAll(search(more.join(pairs, ["a", "b"], "left_anti")))
+        joined = labelled(links)
+        members = members.drop("label")
     answer = rows.join(classes, "name", "left").join(joined, F.col("class_id") == F.col("node"), "left")
     return answer.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
 
