@@ -1,7 +1,8 @@
 """Operator 2: scoring by a gated recurrent language model with a class-factored softmax.
 
-Word counts of all training texts give the vocabulary. The HEAD most frequent words and the
-end of text form classes of equal size by rank; all other words form one more class, within
+Word counts of all training texts give the vocabulary. The most frequent words, as many as
+make up the share COVERED of the training texts and HEAD at least, and the end of text form
+classes of equal size by rank; all other words form one more class, within
 which a word has its share of the training counts (half a count more each, and half for any
 unknown word), so that the model is a proper distribution over known words and one unknown.
 A gated recurrent unit reads the text; one softmax gives the class of the next word, another
@@ -37,11 +38,13 @@ from loomlake.session import materialize
 
 from .common import batches, held_out, most_frequent, prepare, share_of, texts_of
 
+#: Head words at least; more, until they are this share of the running words.
 HEAD = 1023
-CLASS_SIZE = 64
+COVERED = 0.6
+CLASS_SIZE = 32
 KNOWN = 250_000
 START_DOCS = 1_500
-STATE = 8
+STATE = 12
 LANES = 512
 WINDOW = 16
 RATE = 0.01
@@ -60,9 +63,12 @@ class Vocabulary:
     counts: np.ndarray
     total: int
     distinct: int
+    head: int | None = None
 
     def __post_init__(self):
-        self.head = min(HEAD + 1, len(self.words))
+        if self.head is None:
+            covering = int(np.searchsorted(np.cumsum(self.counts), COVERED * self.total)) + 1
+            self.head = min(max(HEAD + 1, covering), len(self.words))
         self.rest = self.head  # the id of any word outside the head
         self.begin = self.head + 1
         self.n_classes = -(-self.head // CLASS_SIZE) + 1
@@ -127,38 +133,42 @@ class Network:
         n = len(y)
         logits = h @ w_class + b_class
         logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
+        rows = np.arange(n)
         own = np.minimum(y // CLASS_SIZE, self.v.n_classes - 1)
         own[y == self.v.rest] = self.v.n_classes - 1
-        rows = np.arange(n)
-        out = logits[rows, own] - np.log(total)
+        out = logits[rows, own]
+        p = np.exp(logits, out=logits)
+        total = p.sum(1)
+        out -= np.log(total)
         grads = None
         if back:
             p /= total[:, None]
             p[rows, own] -= 1
             dh = p @ w_class.T
             grads = [h.T @ p, p.sum(0), np.zeros_like(w_word), np.zeros_like(b_word)]
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(self.v.n_classes))
-        for k in range(self.v.n_classes - 1):
-            idx = order[cuts[k] : cuts[k + 1]]
-            if not len(idx):
-                continue
-            hk = h[idx]
-            inner = hk @ w_word[k] + b_word[k]
-            inner -= inner.max(1, keepdims=True)
-            q = np.exp(inner)
-            sums = q.sum(1)
-            word = y[idx] - k * CLASS_SIZE
-            at = np.arange(len(idx))
-            out[idx] += inner[at, word] - np.log(sums)
-            if back:
-                q /= sums[:, None]
-                q[at, word] -= 1
-                grads[2][k] = hk.T @ q
-                grads[3][k] = q.sum(0)
-                dh[idx] += q @ w_word[k].T
+        order = np.argsort(own.astype(np.uint16), kind="stable")  # KNOWN words make fewer classes
+        cuts = np.searchsorted(own[order], np.arange(self.v.n_classes)).tolist()
+        order = order[: cuts[-1]]
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+        hs, group = h[order], own[order]
+        q = b_word[group]
+        for k, a, b in spans:
+            q[a:b] += hs[a:b] @ w_word[k]
+        q -= q.max(1, keepdims=True)
+        at, word = np.arange(len(order)), y[order] - group * CLASS_SIZE
+        inner = q[at, word]
+        np.exp(q, out=q)
+        sums = q.sum(1)
+        out[order] += inner - np.log(sums)
+        if back and spans:
+            q /= sums[:, None]
+            q[at, word] -= 1
+            more = np.empty_like(hs)
+            for k, a, b in spans:
+                np.matmul(hs[a:b].T, q[a:b], out=grads[2][k])
+                np.matmul(q[a:b], w_word[k].T, out=more[a:b])
+            grads[3][[k for k, _, _ in spans]] = np.add.reduceat(q, [a for _, a, _ in spans], axis=0)
+            dh[order] += more
         return out, (dh, grads) if back else None
 
     def gradient(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.ndarray):
@@ -201,17 +211,26 @@ class Trainer:
 
     def __init__(self, network: Network, rate: float):
         self.network, self.rate, self.steps, self.tokens = network, rate, 0, 0
-        self.mean, self.square = np.zeros_like(network.flat), np.zeros_like(network.flat)
+        self.mean, self.square, self.room = (np.zeros_like(network.flat) for _ in range(3))
 
     def step(self, grad: np.ndarray, share: float) -> None:
         self.steps += 1
         norm = float(np.sqrt(np.dot(grad, grad)))
         if norm > 1:
             grad = grad / FLOAT(norm)
-        self.mean += FLOAT(0.1) * (grad - self.mean)
-        self.square += FLOAT(0.005) * (grad * grad - self.square)
+        room = np.subtract(grad, self.mean, out=self.room)
+        room *= FLOAT(0.1)
+        self.mean += room
+        np.multiply(grad, grad, out=room)
+        room -= self.square
+        room *= FLOAT(0.005)
+        self.square += room
         scale = share * self.rate / (1 - 0.9**self.steps) * np.sqrt(1 - 0.995**self.steps)
-        self.network.flat -= FLOAT(scale) * self.mean / (np.sqrt(self.square) + FLOAT(1e-7))
+        np.sqrt(self.square, out=room)
+        room += FLOAT(1e-7)
+        np.divide(self.mean, room, out=room)
+        room *= FLOAT(scale)
+        self.network.flat -= room
 
     def learn(self, texts: list[np.ndarray]) -> None:
         h = None
@@ -307,7 +326,7 @@ def _ids(text: bytes, get, rest: int) -> np.ndarray:
 def trained(training: DataFrame, v: Vocabulary, start: np.ndarray | None, rate: float, rounds: int = 1) -> np.ndarray | None:
     """Parameters averaged over the copies that the partitions of these texts train."""
     spark = training.sparkSession
-    small = Vocabulary(v.words[: HEAD + 1], v.counts[: HEAD + 1], v.total, v.distinct)
+    small = Vocabulary(v.words[: v.head], v.counts[: v.head], v.total, v.distinct, v.head)
     shared = spark.sparkContext.broadcast((small, start))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

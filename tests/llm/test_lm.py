@@ -105,3 +105,17 @@ def test_nothing_to_learn_from(make_docs, no_docs):
     assert (got[1].n_tokens, got[1].n_known, got[1].train_tokens) == (3, 0, 0) and abs(got[1].base_score) < 1e-9
     assert got[2].n_tokens == 1 and math.isfinite(got[1].score)
     assert lm.score(no_docs, *lm.fit(docs)).count() == 0
+
+
+def test_head_follows_the_vocabulary():
+    assert (lm.STATE, lm.CLASS_SIZE) == (12, 32)
+    for n in (2000, 20000):
+        counts = np.array([5, *(1_000_000 // (k + 100) for k in range(n))])
+        v = lm.Vocabulary([b"", *(b"w%d" % k for k in range(n))], counts, int(counts.sum()), n + 1)
+        assert v.head >= lm.HEAD + 1 and counts[: v.head].sum() >= lm.COVERED * v.total
+        assert v.head == lm.HEAD + 1 or counts[: v.head - 1].sum() < lm.COVERED * v.total
+    assert v.head > 1500  # 1,024 words are not COVERED of these 20,000
+    network = lm.Network(v)
+    network.flat += np.random.default_rng(3).normal(0, 0.3, len(network.flat)).astype(np.float32)
+    by_context = [lm.scored([np.array([k, 1500])], network)[0] - lm.scored([np.array([k])], network)[0] for k in (3, 40)]
+    assert abs(by_context[0] - by_context[1]) > 1e-3  # a word past rank 1,023 is told apart by what precedes it
