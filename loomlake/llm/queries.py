@@ -78,7 +78,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         definition = file.read()
     path = tokenstore.new_store(spark)
-    tokenstore.write(table(spark, sf_dir, "documents"), path, definition)
+    tokenstore.write(table(spark, sf_dir, "documents"), path, definition, added=True)
     return tokenstore.read_all(spark, path)
 
 

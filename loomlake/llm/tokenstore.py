@@ -95,25 +95,42 @@ class PerfectHash:
 
 
 class Tokenizer:
-    """The tokenizers library over texts; holds the ids of the words that it has met."""
+    """The tokenizers library over texts; holds the ids of the words that it has met.
 
-    def __init__(self, definition: str, dtype: str):
+    With added, an added token in a text is that token, as the library has it by itself; such
+    texts are encoded whole, since the token may reach over the words that are remembered.
+    Without, it is read as plain characters.
+    """
+
+    def __init__(self, definition: str, dtype: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import tokenizers
 
         self.own = tokenizers.Tokenizer.from_str(definition)
-        self.own.encode_special_tokens = True
+        self.own.encode_special_tokens = not added
         self.dtype = dtype
+        tokens = self.own.get_added_tokens_decoder().values()
+        # The library finds tokens that are not special even where special ones are plain.
+        self.whole = [t.content for t in tokens if added or not t.special]
+        if any(t.normalized for t in tokens) and self.own.normalizer is not None:
+            raise ValueError("added tokens of normalized text are not supported")
         vocabulary = self.own.get_vocab(with_added_tokens=True)
         # A byte-level vocabulary writes each byte as one character.
         lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             lengths[number] = len(token)
-        self.encode = Remembered(self.ids, lengths).encode
+        self.remembered = Remembered(self.ids, lengths)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.whole:
+            return self.remembered.encode(texts)
+        apart = [any(t in text for t in self.whole) for text in texts]
+        plain = iter(self.remembered.encode([text for text, own in zip(texts, apart) if not own]))
+        return [self.ids(text).tobytes() if own else next(plain) for text, own in zip(texts, apart)]
+
 
 def shard_row(part: int, number: int, keys: list[int], payloads: list[bytes], width: int) -> list:
     """One row of the store from documents in ascending key order."""
@@ -160,11 +177,12 @@ class Shard:
         return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
-def write(docs: DataFrame, path: str, definition: str, end_id: int = 0) -> None:
+def write(docs: DataFrame, path: str, definition: str, end_id: int = 0, added: bool = False) -> None:
     """Encode all texts, each with end_id after it, and write the store to path.
 
     The tokenizer is a byte-level one that starts a match at a single inner space. Ids take
-    two bytes each where the vocabulary has at most 65,536.
+    two bytes each where the vocabulary has at most 65,536. With added, an added token in a
+    text is encoded as that token, as the library does unless told otherwise.
     """
     spark = prepare(docs.sparkSession)
     import tokenizers
@@ -178,7 +196,7 @@ def write(docs: DataFrame, path: str, definition: str, end_id: int = 0) -> None:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        own = kept("tokenizer", (hash(shared.value), dtype), lambda: Tokenizer(shared.value, dtype))
+        own = kept("tokenizer", (hash(shared.value), dtype, added), lambda: Tokenizer(shared.value, dtype, added))
         keys: list[int] = []
         payloads: list[bytes] = []
         held = 0

@@ -91,3 +91,24 @@ def test_token_store(spark, make_docs, no_docs):
     empty = tokenstore.new_store(spark)
     tokenstore.write(no_docs, empty, DEFINITION)
     assert tokenstore.read_all(spark, empty).count() == 0
+
+
+def test_token_store_has_added_tokens_as_the_library(spark, make_docs):
+    end = "<|endoftext|>"
+    rows = [(1, f"in{end}side a word"), (2, f"hello {end} there"), (3, f"{end}at both ends{end}"), (4, end), (5, f"a {end}{end} b"), (6, "side a word hello"), (7, f" {end} hello"), (8, f"side a {end[:-1]}")]
+    path = tokenstore.new_store(spark)
+    tokenstore.write(make_docs(rows), path, DEFINITION, added=True)
+    own = tokenizers.Tokenizer.from_str(DEFINITION)
+    ids = {i: [*own.encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
+    assert ids[2] == [31373, 220, 50256, 612, 0]
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenstore.read_all(spark, path).collect())
+    starts = np.cumsum([0, *map(len, ids.values())])[:-1].tolist()
+    assert got == [(i, s, len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for s, (i, v) in zip(starts, ids.items())]
+
+
+def test_query_has_added_tokens_as_the_library(spark, make_docs, tmp_path):
+    from loomlake.llm import queries
+
+    make_docs([(1, "hello <|endoftext|> there")]).write.parquet(str(tmp_path / "documents.parquet"))
+    row = queries.op10_token_store(spark, str(tmp_path)).collect()[0]
+    assert (row.n_tokens, row.ids_crc32) == (5, zlib.crc32(np.array([31373, 220, 50256, 612, 0], "<u4").tobytes()))
