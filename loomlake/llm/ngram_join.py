@@ -20,7 +20,8 @@ anything else. These first shingles are dealt out by their hash in packed arrays
    component meet some others in a random order, for a few rounds; then every pair across
    the components left is searched as in step 3. Nothing is capped or dropped.
 
-The links' connected components, over one representative a class, are the answer.
+The links' connected components, over one representative a class, are the answer of join(),
+which so leaves pairs of one component unverified; links() verifies every pair that can be linked.
 
 Cases: texts without words have the empty set, link with nothing and are their own
 component; fewer words than a shingle make one shingle of all; rows with a null id link with
@@ -61,6 +62,8 @@ ROUNDS = 1
 #: What pairs of members l and r of a list must reach, as in reachable().
 REACHABLE = "7 * least(l.rest, r.rest) >= 3 * (l.n + r.n)"
 MU = 0.01
+#: Classes of a long list in one block, where all links are asked for.
+BLOCK = 256
 
 
 def class_name(shingles: np.ndarray) -> int:
@@ -334,8 +337,8 @@ def _met(own: DataFrame, step: int) -> DataFrame:
     return asked.join(placed.select("list", "at", F.col("l").alias("r")), ["list", "at"]).where("l.label <> r.label")
 
 
-def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
+def _routed(docs: DataFrame, width: int, id_col: str):
+    """Rows, classes, pairs of short lists, members of long ones, and a search for the linked ones of pairs a, b."""
     spark = prepare(docs.sparkSession)
     base = described(docs, width, id_col)
     rows = base.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("y").alias("name"))
@@ -358,6 +361,12 @@ def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
         likely = plausible(asked, bitmaps)
         return materialize(verified(likely, sets_of(known, classes, likely, width, id_col)), "links")
 
+    return rows, classes, pairs, members, search
+
+
+def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
+    rows, classes, pairs, members, search = _routed(docs, width, id_col)
     links = search(pairs)
 
     def labelled(linked: DataFrame) -> DataFrame:
@@ -382,6 +391,25 @@ def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
     return answer.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
 
 
+def links(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """class_a, class_b (a < b): every two classes that are linked, by their class_id.
+
+    Long lists are cut into blocks of about BLOCK classes, and each block meets each in rows of
+    their own, so a pair is lost nowhere and no list is one task. The output grows with the
+    links: n near copies of each other have n * (n - 1) / 2.
+    """
+    _, classes, pairs, members, search = _routed(docs, width, id_col)
+    blocks = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    own = members.join(blocks, "list").select("list", F.struct("name", "n", "rest").alias("l"), "k", F.pmod(F.xxhash64("name"), F.col("k")).alias("own"))
+    lefts = own.select("list", "l", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("k") - 1)).alias("j"))
+    rights = own.select("list", F.col("l").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    met = lefts.join(rights, ["list", "i", "j"]).where("i < j OR l.name < r.name").where(REACHABLE)
+    more = met.select(F.least("l.name", "r.name").alias("a"), F.greatest("l.name", "r.name").alias("b"))
+    found = search(materialize(pairs.unionAll(more).distinct(), "asked"))
+    ends = found.join(classes.withColumnsRenamed({"name": "a", "class_id": "ca"}), "a").join(classes.withColumnsRenamed({"name": "b", "class_id": "cb"}), "b")
+    return ends.select(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"))
+
+
 def representatives(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, with all their columns, that stay: of each component the one with the smallest id.
 

@@ -109,3 +109,20 @@ def test_word_hashes_agree_with_words():
     a = common.word_hashes(b"The cat\x0bsat  on\tthe CAT")
     assert len(a) == 6 and a[0] == a[4] and a[1] == a[5] and len(set(a.tolist())) == 4
     assert len(common.word_hashes(b"")) == len(common.word_hashes(b" \n")) == 0
+
+
+@pytest.mark.parametrize("light, block", [(32, 256), (3, 7)])
+def test_links_against_brute_force(make_docs, light, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIGHT", light)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    # 60 near copies with common words before and after: more than LIGHT share their shingles
+    rows = corpus(light, 160) + [(5000 + i, " ".join(f"n{j}" if j != 5 * (i % 15) else f"x{i}" for j in range(80))) for i in range(60)]
+    sets, first = {}, {}
+    for i, t in sorted(rows):
+        words = t.lower().split()
+        k = min(5, len(words))
+        own = frozenset(tuple(words[j : j + k]) for j in range(len(words) - k + 1))
+        sets[first.setdefault(own, i)] = own
+    expected = [(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and 100 * len(a & b) >= 75 * len(a | b)]
+    got = sorted((r.class_a, r.class_b) for r in ngram_join.links(make_docs(rows)).collect())
+    assert got == sorted(expected) and sum(i >= 5000 for i, _ in got) > 1000
