@@ -13,7 +13,8 @@ Items are taken in blocks of bounded size, each broadcast to one pass over the d
 document is read where it lies and never shuffled.
 
 Cases: null and empty texts hold nothing and are contained in nothing; fewer words than a
-shingle make one shingle of all; repeated items and documents each give their own rows.
+shingle make one shingle of all, so an item of one to four words is found only in texts that are
+those words alone, never inside a text of five or more; repeated items and documents each give their own rows.
 """
 
 from __future__ import annotations
