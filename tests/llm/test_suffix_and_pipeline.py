@@ -70,20 +70,62 @@ def test_cut_keeps_columns(make_docs):
     assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {1: (rows[0][1], 33), 2: ("two", 3), 3: (None, None), 4: ("� stays", 7)}
 
 
-def test_blind_trie_and_rounds():
+@pytest.mark.parametrize("width, shared", [(50, 45), (200, 150)])
+def test_deep_shallow_order_and_prefixes(width, shared):
     rng = np.random.default_rng(3)
-    data = rng.integers(0, 3, (400, 50)).astype(np.uint8)
+    data = rng.integers(0, 3, (400, width)).astype(np.uint8)
     data[100:200] = data[:100]
-    data[200:260, :45] = data[0, :45]
+    data[200:260, :shared] = data[0, :shared]
     group = rng.integers(0, 5, 400)
     order, common = suffix_dedup.deep_shallow(group, data)
     keys = [(int(group[i]), data[i].tobytes()) for i in order]
     assert keys == sorted(keys)
     for k in range(1, 400):
         a, b = data[order[k]], data[order[k - 1]]
-        assert common[k] == (-1 if group[order[k]] != group[order[k - 1]] else int(np.argmax(a != b)) if (a != b).any() else 50)
-    strings = [bytes(rng.integers(0, 3, 6).astype(np.uint8)) for _ in range(200)]
-    assert [strings[i] for i in suffix_dedup.blind_sort(strings)] == sorted(strings)
+        assert common[k] == (-1 if group[order[k]] != group[order[k - 1]] else int(np.argmax(a != b)) if (a != b).any() else width)
+
+
+def test_tries_order_what_differs_late(monkeypatch):
+    """All strings agree for 120 bytes, so no part of the order comes from quicksort."""
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 256, (300, 160)).astype(np.uint8)
+    data[:, :120] = data[0, :120]
+    data[50:80, :150] = data[50, :150]
+    seen = []
+    tries = suffix_dedup.blind_tries
+    monkeypatch.setattr(suffix_dedup, "blind_tries", lambda words, order, starts, sizes, *a: (seen.append(sizes.tolist()), tries(words, order, starts, sizes, *a)))
+    order, common = suffix_dedup.deep_shallow(np.zeros(300, np.int64), data)
+    assert seen == [[300]]
+    strings = [d.tobytes() for d in data]
+    assert [strings[i] for i in order] == sorted(strings)
+    assert all(common[1:] >= 120)
+
+
+def test_longer_strings_against_brute_force(make_docs):
+    rows = repetitive(5, 60)
+    rows += [(500 + k, "start %d " % k + "the middle of this passage is long enough to matter here " * 3 + "end %d" % (k % 3)) for k in range(12)]
+    got = suffix_dedup.dedupe(make_docs(rows), length=130).withColumn("sha", F.sha2("kept", 256)).collect()
+    expected = brute_removal(rows, 130)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == expected
+    assert sum(n for _, n, _, _ in expected.values()) > 1000
+
+
+def test_hot_anchors_against_brute_force(make_docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    calls = []
+    grouped = suffix_dedup._hot_flags
+    monkeypatch.setattr(suffix_dedup, "_hot_flags", lambda *a: (calls.append(1), grouped(*a))[1])
+    rows = repetitive(6, 120)
+    got = suffix_dedup.dedupe(make_docs(rows)).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == brute_removal(rows) and calls
+
+
+def test_small_pieces_against_brute_force(make_docs, monkeypatch):
+    for name in ("SORTED", "HELD", "PARTITION_BYTES"):
+        monkeypatch.setattr(suffix_dedup, name, 40)
+    rows = repetitive(7, 80)
+    got = suffix_dedup.dedupe(make_docs(rows, extra=("part", "bytes"))).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == brute_removal(rows)
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
