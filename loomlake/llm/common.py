@@ -62,6 +62,7 @@ def release() -> None:
     """Gives back what the worker has kept; Spark uses workers again for other operators."""
     _KEPT.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

@@ -18,7 +18,7 @@ class Remembered:
     go when the newer is full.
     """
 
-    def __init__(self, encode: Callable[[str], np.ndarray], bytes_of_id: np.ndarray, words: int = 400_000):
+    def __init__(self, encode: Callable[[str], np.ndarray], bytes_of_id: np.ndarray, words: int = 120_000):
         self.encode_text = encode
         self.bytes_of_id = bytes_of_id
         self.limit = words
