@@ -12,8 +12,8 @@ LINE_NAMED = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
 JSON_NAMED = {'"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 HEX = "0123456789abcdef"
-#: Size suffixes and the MiB that each stands for, longest first.
-SIZE_SUFFIXES = {"GiB": 1024, "MiB": 1, "GB": 1024, "MB": 1, "G": 1024, "M": 1}
+#: Size suffixes and the MiB that each stands for; of two that fit, the earlier.
+SIZE_SUFFIXES = {"GiB": 1024, "GB": 1024, "G": 1024, "MiB": 1, "MB": 1, "M": 1}
 
 
 def _replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -76,16 +76,15 @@ def hex_bytes(text: Column) -> Column:
 
 
 def size_mib(text: Column) -> Column:
-    """MiB of a positive whole number with a size suffix, or null."""
-    amount = F.regexp_extract(text, r"\A([0-9]+)(?:GiB|MiB|GB|MB|G|M)\z", 1)
+    """MiB, as a decimal of 38 digits, of a positive whole number of up to 34 digits with a size suffix, or null."""
+    amount = F.regexp_extract(text, rf"\A0*([1-9][0-9]{{0,33}})(?:{'|'.join(SIZE_SUFFIXES)})\z", 1)
     factor = F.coalesce(*(F.when(text.endswith(s), F.lit(f)) for s, f in SIZE_SUFFIXES.items()))
-    number = F.try_to_number(F.nullif(amount, F.lit("")), F.lit("9" * 18)).cast("long")
-    return F.when(number > 0, number * factor)
+    return (F.nullif(amount, F.lit("")).cast("decimal(34,0)") * factor.cast("decimal(4,0)")).cast("decimal(38,0)")
 
 
 def unsigned_or_default(text: Column, default: str = "0") -> Column:
-    """The digits of a stamp, the default where it is null, and null where it is no unsigned number."""
-    value = F.coalesce(text, F.lit(default))
+    """The digits of a stamp, the default where it is null or empty, and null where it is no unsigned number."""
+    value = F.coalesce(F.nullif(text, F.lit("")), F.lit(default))
     return F.when(value.rlike(r"\A[0-9]+\z"), value)
 
 

@@ -13,10 +13,13 @@ FIELDS = ("version", "revision", "build_mode")
 
 
 def _varint(number: Column) -> Column:
-    """Bytes of a length below 2**14 as a column."""
-    low = F.unhex(F.lpad(F.hex(number), 2, "0"))
-    two = F.unhex(F.concat(F.lpad(F.hex(number.bitwiseAND(F.lit(127)).bitwiseOR(F.lit(128))), 2, "0"), F.lpad(F.hex(F.shiftright(number, 7)), 2, "0")))
-    return F.when(number < 128, low).otherwise(two)
+    """Bytes of a length, seven bits each, lowest first; all but the last have the high bit set."""
+    byte = lambda k, more: F.unhex(F.lpad(F.hex(F.shiftright(number, 7 * k).bitwiseAND(F.lit(127)).bitwiseOR(F.lit(128 if more else 0))), 2, "0"))
+    of = lambda n: F.concat(*(byte(k, k < n - 1) for k in range(n)))
+    out = of(5)  # a text has less than 2**31 bytes
+    for n in range(4, 0, -1):
+        out = F.when(number < 1 << 7 * n, of(n)).otherwise(out)
+    return out
 
 
 def encoded(values: dict[str, Column]) -> Column:

@@ -114,7 +114,17 @@ def parsed(rows: DataFrame, text: str, root: str) -> DataFrame:
 
 
 def _integer(value: Column) -> Column:
-    return F.when(value.rlike(r"\A[-+]?[0-9]+\z"), value.try_cast("bigint"))
+    """A whole number: decimal, octal after 0 or hexadecimal after 0x."""
+    sign = F.when(value.startswith("-"), -1).otherwise(1)
+    digits = lambda pattern: F.nullif(F.regexp_extract(value, pattern, 1), F.lit(""))
+    based = lambda pattern, base: sign * F.conv(digits(pattern), base, 10).try_cast("bigint")
+    plain = F.when(value.rlike(r"\A[-+]?([1-9][0-9]*|0)\z"), value.try_cast("bigint"))
+    return F.coalesce(plain, based(r"\A[-+]?0[xX]0*([0-9a-fA-F]{1,16})\z", 16), based(r"\A[-+]?0+([0-7]{1,21})\z", 8))
+
+
+def log_levels(default: str = "INFO") -> Column:
+    """Spark's level for the setting log_level; the default for any other text."""
+    return F.coalesce(*(F.when(F.col("log_level") == level, F.lit(level.upper())) for level in LEVELS), F.lit(default))
 
 
 def validated(rows: DataFrame, root: str) -> DataFrame:
@@ -152,10 +162,10 @@ def validated(rows: DataFrame, root: str) -> DataFrame:
     setting = lambda k: F.when(good, F.coalesce(value(k), F.lit(DEFAULTS[k])))
     return rows.withColumn("error", first).withColumns({
         "schema_version": F.when(good, F.lit(SCHEMA_VERSION).cast("long")),
-        "node_id": setting("node_id").cast("int"),
+        "node_id": F.when(good, F.coalesce(_integer(value("node_id")), F.lit(int(DEFAULTS["node_id"])))).cast("int"),
         "data_directory": setting("data_directory"),
         "admin_address": setting("admin_address"),
-        "admin_port": setting("admin_port").cast("int"),
+        "admin_port": F.when(good, F.coalesce(_integer(value("admin_port")), F.lit(int(DEFAULTS["admin_port"])))).cast("int"),
         "log_level": setting("log_level"),
         "developer_mode": F.when(good, F.lower(F.coalesce(value("developer_mode"), F.lit("false"))).isin("y", "yes", "true", "on")),
     })

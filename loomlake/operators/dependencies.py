@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlake.functions.text import normalized
+
+from .relational import containing
+
 #: The patterns of a module declaration, its fields, and a workflow reference.
 MODULE = r"(?s)bazel_dep\((.*?)\)"
 NAME = r"\bname\s*=\s*\"([^\"]+)\""
@@ -40,18 +46,30 @@ def workflow_references(rows: DataFrame, text: str) -> DataFrame:
     return found.select(F.substr("_ref", F.lit(1), at - 1).alias("name"), F.substr("_ref", at + 1).alias("revision"))
 
 
-def workflow_errors(references: DataFrame, inventoried: Column) -> DataFrame:
-    """name, revision, error for each of the two independent errors of a reference."""
-    errors = F.array_compact(F.array(F.when(~inventoried, "missing"), F.when(~F.col("revision").rlike(PIN), "not_pinned")))
-    return references.select("name", "revision", F.explode(errors).alias("error"))
+def workflow_errors(references: DataFrame, inventory: DataFrame) -> DataFrame:
+    """name, revision, error of each reference; a reference may have either error or both.
+
+    missing: no cell0 of the inventory contains its name, both reduced to letters and digits;
+    not_pinned: its revision is no full digest.
+    """
+    names = references.select("name").distinct().withColumn("_key", normalized(F.col("name")))
+    cells = inventory.select(normalized(F.col("cell0")).alias("_cell")).distinct()
+    held = containing(names, "name", "_key", cells, "_cell").select("name").distinct()
+    missing = references.join(held, "name", "left_anti").select("name", "revision", F.lit("missing").alias("error"))
+    loose = references.where(~F.col("revision").rlike(PIN)).select("name", "revision", F.lit("not_pinned").alias("error"))
+    return missing.unionAll(loose)
+
+
+#: Fixed value: the name of a template's variable.
+VARIABLE = "[A-Za-z_][A-Za-z0-9_]*"
 
 
 def substituted(template: Column, variables: Column) -> Column:
-    """${KEY} in a template replaced by a map's values; null where a key is missing."""
-    keys = F.regexp_extract_all(template, F.lit(r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}"), F.lit(1))
-    complete = F.forall(keys, lambda k: F.map_contains_key(variables, k))
-    filled = F.aggregate(F.map_entries(variables), template, lambda text, e: F.replace(text, F.concat(F.lit("${"), e["key"], F.lit("}")), e["value"]))
-    return F.when(complete, filled)
+    """The template with ${KEY} and $KEY looked up once in a map and $$ as a dollar; null where a key is missing or a dollar stands alone."""
+    pieces = F.regexp_extract_all(template, F.lit(rf"(?s)(\$\$|\$\{{{VARIABLE}\}}|\${VARIABLE}|\$|[^$]+)"), F.lit(1))
+    looked = lambda p: F.try_element_at(variables, F.regexp_extract(p, VARIABLE, 0))
+    filled = F.transform(pieces, lambda p: F.when(~p.startswith("$"), p).when(p == "$$", "$").when(p != "$", looked(p)))
+    return F.when(F.forall(filled, lambda p: p.isNotNull()), F.array_join(filled, ""))
 
 
 def compile_commands(actions: DataFrame, order: str) -> DataFrame:
@@ -67,3 +85,33 @@ def compile_commands(actions: DataFrame, order: str) -> DataFrame:
     source = F.when(at > 0, F.get(args, at.cast("int")))
     found = actions.withColumn("source", source).where(F.col("source").isNotNull() & is_cpp(F.col("source")) & ~F.col("source").startswith("external/") & ~F.col("source").startswith("bazel-out/"))
     return found.groupBy("source").agg(F.max_by("arguments", order).alias("arguments")).orderBy("source")
+
+
+def absolute_arguments(arguments: Column, root: Column) -> Column:
+    """A command's arguments with the compiler below root unless its path is absolute, and external/ paths, alone or after an equals sign, in the folder external beside root's parent.
+
+    A wrapper script is kept as the compiler: what it would run depends on files of another machine.
+    """
+    compiler = F.get(arguments, F.lit(0))
+    outside = F.concat(F.regexp_replace(root, r"/[^/]+/[^/]+/?\z", ""), F.lit("/external/"))
+    first = F.when(compiler.startswith("/"), compiler).otherwise(F.concat(root, F.lit("/"), compiler))
+    at = lambda a: F.locate("=external/", a)
+    moved = lambda a: F.when(a.startswith("external/"), F.concat(outside, F.substr(a, F.lit(10)))).when(at(a) > 0, F.concat(F.substr(a, F.lit(1), at(a)), outside, F.substr(a, at(a) + 10))).otherwise(a)
+    rest = F.transform(F.slice(arguments, 2, F.greatest(F.size(arguments) - 1, F.lit(0))), moved)
+    return F.when(F.size(arguments) > 0, F.concat(F.array(first), rest)).otherwise(arguments)
+
+
+#: Arguments that set a reactor's CPUs or memory, alone or as what an argument begins with.
+REACTOR_WORDS = ["-c", "-m", "--memory", "--smp"]
+REACTOR_STARTS = ["-c", "-m", "--memory=", "--smp="]
+
+
+def sets_reactor_resources(arguments: Column) -> Column:
+    starts = lambda a: reduce(lambda x, s: x | a.startswith(s), REACTOR_STARTS, a.isin(REACTOR_WORDS))
+    return F.exists(arguments, starts)
+
+
+def merged(base: Column, extra: Column) -> Column:
+    """The map of both; extra wins."""
+    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(extra, k))
+    return F.map_concat(kept, extra)

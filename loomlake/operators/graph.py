@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.session import materialize, ship
+from loomlake.session import discard, materialize, ship
 
 
 def package(label: Column, roots: list[str]) -> Column:
@@ -46,7 +46,8 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     while left:
         inner = current.join(current.select(F.col("dst").alias("_n")).distinct(), F.col("src") == F.col("_n"), "left_semi")
         inner = inner.join(current.select(F.col("src").alias("_n")).distinct(), F.col("dst") == F.col("_n"), "left_semi")
-        current = materialize(inner, "cycle-edges")
+        previous, current = current, materialize(inner, "cycle-edges")
+        discard(previous)
         now = current.count()
         if now == left:
             break
@@ -95,3 +96,16 @@ def cycles(edges: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame({key: [keys[0]], "cycle": [" -> ".join(found) if found else None], "status": [int(found is not None)]})
 
     return edges.select(key, "src", "dst").distinct().groupBy(key).applyInPandas(walk, f"{key} {kind}, cycle string, status int")
+
+
+def statuses(rules: DataFrame, key: str, roots: list[str]) -> DataFrame:
+    """key, status of each graph of rules (name, inputs): 2 where a rule has no name, else 1 where there is a cycle, else 0.
+
+    All graphs are peeled together, as one whose nodes carry their key.
+    """
+    own = rules.select(key, F.col("name").isNull().alias("_bad"), package(F.col("name"), roots).alias("_src"), F.explode_outer("inputs").alias("_input"))
+    edges = own.select(key, "_src", package(F.col("_input"), roots).alias("_dst")).where("_src IS NOT NULL AND _dst IS NOT NULL AND _src <> _dst")
+    node = lambda c: F.struct(F.col(key).alias("key"), F.col(c).alias("package"))
+    cyclic = on_cycles(edges.select(node("_src").alias("src"), node("_dst").alias("dst"))).select(F.col("node.key").alias(key), F.lit(1).alias("_cycle")).distinct()
+    bad = own.groupBy(key).agg(F.bool_or("_bad").alias("_bad"))
+    return bad.join(cyclic, key, "left").select(key, F.when(F.col("_bad"), 2).otherwise(F.coalesce("_cycle", F.lit(0))).alias("status"))

@@ -43,7 +43,8 @@ def is_generated(path: Column) -> Column:
 def is_build_file(path: Column) -> Column:
     own = name(path)
     oss = (own.startswith("BUILD.") | own.startswith("WORKSPACE.")) & own.endswith(".oss")
-    return own.isin(BUILD_NAMES) | oss | ends(own, BUILD_SUFFIXES)
+    hidden = own.rlike(r"\A\.[^.]*\z")  # a name that begins with its only dot has no suffix
+    return own.isin(BUILD_NAMES) | oss | (ends(own, BUILD_SUFFIXES) & ~hidden)
 
 
 def is_production(path: Column) -> Column:
@@ -52,4 +53,4 @@ def is_production(path: Column) -> Column:
 
 
 def is_cpp(path: Column) -> Column:
-    return ends(F.lower(name(path)), CPP_SUFFIXES)
+    return ends(F.lower(name(path)), CPP_SUFFIXES) & ~name(path).rlike(r"\A\.[^.]*\z")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .relational import numbered
+
 #: The metrics of a broker, their kinds and what they tell.
 METRICS = [
     ("process_readiness", "gauge", "Whether the broker is ready for traffic"),
@@ -41,12 +43,31 @@ def transition(state: Column, event: Column) -> Column:
     )
 
 
-def lifecycle(events: DataFrame, key: str, order: list[str], kind: str, value: str) -> DataFrame:
-    """key, state, shards, startup, shutdowns, live, ready after all events of each key."""
-    own = F.struct(*order, F.col(kind).alias("kind"), F.col(value).cast("double").alias("value"))
-    ordered = events.groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("_events"))
-    folded = ordered.select(key, F.aggregate("_events", _initial().cast(STATE), lambda s, e: transition(s, e).cast(STATE)).alias("_s"))
-    return folded.select(key, "_s.*", F.col("_s.state").isin("live", "ready").alias("live"), (F.col("_s.state") == "ready").alias("ready"))
+#: The states of a lifecycle.
+STATES = ["stopped", "live", "ready", "draining"]
+
+
+def lifecycle(events: DataFrame, key: str, order: list[str], kind: str, value: str, piece: int = 1000) -> DataFrame:
+    """key, state, shards, startup, shutdowns, live, ready after all events of each key.
+
+    Events are sorted by range and cut into pieces of about this many, folded from each of
+    the four states they may begin in; a key's pieces are then put one after the other. So a
+    key with any share of the events is spread over tasks.
+    """
+    own = F.struct(*order, F.col(kind).alias("kind"), F.col(value).cast("double").alias("value")).alias("_e")
+    rows = numbered(events.select(F.col(key).alias("_key"), *(F.col(o) for o in order), own), "_key", *order)
+    pieces = rows.groupBy("_key", F.floor(F.col("i") / piece).alias("_piece")).agg(F.array_sort(F.collect_list("_e")).alias("_events"))
+    initial = lambda name: F.struct(F.lit(name).alias("state"), F.lit(None).cast("long").alias("shards"), F.lit(None).cast("double").alias("startup"), F.lit(0).cast("long").alias("shutdowns")).cast(STATE)
+    folded = lambda name: F.aggregate("_events", initial(name), lambda s, e: transition(s, e).cast(STATE)).alias(name)
+    effects = pieces.select("_key", "_piece", F.struct(*map(folded, STATES)).alias("_to"))
+    ordered = effects.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_piece", "_to"))).alias("_pieces"))
+
+    def follow(s: Column, p: Column) -> Column:
+        to = F.coalesce(*(F.when(s["state"] == name, p["_to"][name]) for name in STATES))
+        return F.struct(to["state"].alias("state"), F.coalesce(to["shards"], s["shards"]).alias("shards"), F.coalesce(to["startup"], s["startup"]).alias("startup"), (s["shutdowns"] + to["shutdowns"]).alias("shutdowns")).cast(STATE)
+
+    done = ordered.select(F.col("_key").alias(key), F.aggregate("_pieces", _initial().cast(STATE), follow).alias("_s"))
+    return done.select(key, "_s.*", F.col("_s.state").isin("live", "ready").alias("live"), (F.col("_s.state") == "ready").alias("ready"))
 
 
 def trace(steps: Column) -> Column:
@@ -85,4 +106,27 @@ def exposition(prefix: str, name: Column, kind: Column, value: Column, descripti
 def metric_value(text: Column, name: Column) -> Column:
     """The value of the only sample with this name in an exposition; null where there are none or several."""
     lines = F.filter(F.split(text, "\n"), lambda line: (line == name) | line.startswith(F.concat(name, F.lit("{"))) | line.startswith(F.concat(name, F.lit(" "))))
-    return F.when(F.size(lines) == 1, F.try_to_number(F.element_at(F.split(F.get(lines, F.lit(0)), r"\s+"), -1), F.lit("S999999999999D999999")).cast("double"))
+    return F.when(F.size(lines) == 1, F.element_at(F.split(F.get(lines, F.lit(0)), r"\s+"), -1).try_cast("double"))
+
+
+def metrics(spark: SparkSession) -> DataFrame:
+    """name, kind, description of the registered metrics."""
+    return spark.createDataFrame(METRICS, "name string, kind string, description string")
+
+
+def exposed(states: DataFrame, key: str, requests: DataFrame) -> DataFrame:
+    """key, metric, kind, sample, description: every registered metric of what lifecycle() gives.
+
+    requests: key, requests; a key without any has 0.
+    """
+    values = {
+        "process_readiness": F.col("ready").cast("double"),
+        "shard_count": F.col("shards").cast("double"),
+        "startup_duration_seconds": F.col("startup"),
+        "shutdown_total": F.col("shutdowns").cast("double"),
+        "http_requests_total": F.coalesce("requests", F.lit(0)).cast("double"),
+    }
+    named = F.array(*(F.struct(F.lit(k).alias("name"), v.alias("sample")) for k, v in values.items()))
+    samples = states.join(requests, key, "left").select(key, F.explode(named).alias("_m")).select(key, "_m.*")
+    known = F.broadcast(metrics(states.sparkSession))  # five rows
+    return samples.join(known, "name").select(key, F.col("name").alias("metric"), "kind", "sample", "description")

@@ -130,11 +130,40 @@ def metric_exposition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metric_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The value of a user's only click, through an exposition with one line for each of the user's kinds of events, two for a kind that occurs more often."""
     sample = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, '{shard="0"}').otherwise(""), F.lit(" "), F.col("event_id").cast("string"))
-    rows = table(spark, sf, "events").groupBy("user_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list(sample))).alias("text"))
+    kinds = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min(sample).alias("low"), F.max(sample).alias("high"), F.count("*").alias("n"))
+    lines = F.when(F.col("n") > 1, F.concat("low", F.lit("\n"), "high")).otherwise(F.col("low"))
+    rows = kinds.groupBy("user_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list(lines))).alias("text"))
     return rows.select("user_id", state.metric_value(F.col("text"), F.lit("click")).alias("value"))
 
 
+def metric_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Values in the forms that an exposition may have, read back as numbers."""
+    form = F.when(F.col("c_acctbal") > 9000, "+Inf").when(F.col("c_acctbal") < 0, F.concat(F.floor("c_acctbal").cast("string"), F.lit("e-3"))).when(F.col("c_mktsegment") == "BUILDING", F.concat(F.col("c_custkey").cast("string"), F.lit("000000000000"))).otherwise(F.concat(F.lit("0.0000"), F.col("c_custkey").cast("string")))
+    line = F.concat("c_mktsegment", F.lit(' 1\nbalance{key="'), F.col("c_custkey").cast("string"), F.lit('"} '), form)
+    value = state.metric_value(line, F.lit("balance"))
+    return table(spark, sf, "customer").select("c_custkey", (value > 1e300).alias("infinite"), F.when(value <= 1e300, value).alias("value"))
+
+
+def metric_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Every registered metric of each user's lifecycle; requests are the views."""
+    requests = table(spark, sf, "events").where("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("requests"))
+    return state.exposed(lifecycle_fold(spark, sf), "user_id", requests)
+
+
+def build_info_json(spark: SparkSession, sf: str) -> DataFrame:
+    members = {"version": F.concat_ws(".", F.col("p_size").cast("string"), F.col("p_partkey").cast("string")), "revision": F.sha1("p_name"), "build_mode": F.col("p_type")}
+    return table(spark, sf, "part").select("p_partkey", text.json_object(members).alias("body"))
+
+
+def logger_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """The logger's level for the level that a customer's segment names."""
+    level = F.lower(F.when(F.col("c_acctbal") < 0, "error").when(F.col("c_acctbal") < 1000, "warn").when(F.col("c_acctbal") < 5000, "Debug").otherwise(F.col("c_mktsegment")))
+    named = F.when(F.col("c_acctbal") >= 1000, F.initcap(level)).otherwise(level)
+    return table(spark, sf, "customer").select("c_custkey", named.alias("log_level")).select("c_custkey", "log_level", config.log_levels().alias("logger_level"))
+
+
 KINDS = ["listener", "ready", "shutdown", "stopped"]
 
 
@@ -207,8 +236,8 @@ SELECT b.l_orderkey, coalesce(string_agg(m, ',' ORDER BY pos), '') AS trace, any
 
 
 def checked_units(spark: SparkSession, sf: str) -> DataFrame:
-    a = units.count_of(F.col("l_orderkey")) * F.lit("3074457345618258").cast("decimal(16,0)")
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", a.cast("decimal(20,0)").alias("a"), units.count_of(F.col("l_partkey")).alias("b"))
+    a = units.count_of(F.col("l_orderkey")) * F.lit("3074457345618258").cast("decimal(16,0)")  # 37 digits: the sum's own test is the only one
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", a.alias("a"), units.count_of(F.col("l_partkey")).alias("b"))
     both = rows.select("*", units.checked_add(F.col("a"), F.col("a")).alias("s"), units.checked_sub(F.col("b"), F.lit(500).cast("decimal(20,0)")).alias("d"))
     return both.select("l_orderkey", "l_linenumber", F.col("s").cast("string").alias("added"), F.col("d").cast("string").alias("left_over"))
 
@@ -219,7 +248,7 @@ SUFFIXES = ["GiB", "MiB", "GB", "MB", "G", "M", "K", ""]
 def size_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("p_partkey") % 8 + 1).cast("int"))
     size = F.concat((F.col("p_size") % 10).cast("string"), suffix)
-    return table(spark, sf, "part").select("p_partkey", size.alias("size"), text.size_mib(size).alias("mib"))
+    return table(spark, sf, "part").select("p_partkey", size.alias("size"), text.size_mib(size).cast("long").alias("mib"))
 
 
 def version_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,14 +264,13 @@ def hex_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stamps(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.when(F.col("o_orderkey") % 4 == 0, None).when(F.col("o_orderkey") % 4 == 1, F.col("o_orderstatus")).otherwise(F.col("o_custkey").cast("string"))
+    raw = F.when(F.col("o_orderkey") % 8 == 0, None).when(F.col("o_orderkey") % 8 == 4, "").when(F.col("o_orderkey") % 4 == 1, F.col("o_orderstatus")).otherwise(F.col("o_custkey").cast("string"))
     return table(spark, sf, "orders").select("o_orderkey", text.unsigned_or_default(raw).alias("stamp"))
 
 
 def numbered_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("names"))
-    rows = names.select("p_brand", F.posexplode("names").alias("i", "name"))
-    return rows.select("p_brand", F.format_string("%03d-%s", "i", "name").alias("seed"))
+    rows = relational.numbered(table(spark, sf, "part").select("p_brand", "p_name"), "p_brand", "p_name")
+    return rows.select("p_brand", F.format_string("%03d-%s", "i", "p_name").alias("seed"))
 
 
 def rewritten_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -267,13 +295,14 @@ def workflow_pins(spark: SparkSession, sf: str) -> DataFrame:
     revision = F.when(F.col("c_custkey") % 3 == 0, F.sha1("c_name")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("sha256:"), F.sha2("c_name", 256))).otherwise(F.lit("v1"))
     line = F.concat(F.lit("uses: org/step-"), (F.col("c_custkey") % 400).cast("string"), F.lit("@"), revision, F.lit(" ./skip/me@v2"))
     found = dependencies.workflow_references(table(spark, sf, "customer").select(line.alias("text")), "text")
-    return dependencies.workflow_errors(found, F.substr("name", F.lit(-1)) != "7")
+    held = table(spark, sf, "supplier").select(F.concat(F.lit("| Org / Step "), F.col("s_suppkey").cast("string"), F.lit(" | any |")).alias("text"))
+    return dependencies.workflow_errors(found, dependencies.inventory_rows(held, "text"))
 
 
 def templates(spark: SparkSession, sf: str) -> DataFrame:
     last = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).cast("string").alias("v"))
     variables = last.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "v")))).alias("vars"))
-    return variables.select("user_id", dependencies.substituted(F.lit("c=${click};v=${view}"), F.col("vars")).alias("filled"))
+    return variables.select("user_id", dependencies.substituted(F.lit("c=${click};v=$view $$x"), F.col("vars")).alias("filled"))
 
 
 def _paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,6 +333,21 @@ def compile_commands(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("source", F.concat_ws(" ", "arguments").alias("command"))
 
 
+def absolute_commands(spark: SparkSession, sf: str) -> DataFrame:
+    compiler = F.when(F.col("p_size") > 25, "/usr/bin/cc").otherwise("tools/cc")
+    given = F.array(compiler, F.lit("-c"), F.col("p_name"), F.concat(F.lit("external/"), F.col("p_type")), F.concat(F.lit("-I=external/"), F.col("p_brand"), F.lit("=external/x")))
+    return table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", dependencies.absolute_arguments(given, F.lit("/out/base/root/main"))).alias("command"))
+
+
+def reactor_arguments(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether arguments set a reactor's resources, and a test's environment over the default one."""
+    given = F.array(F.concat(F.lit("--name="), "p_brand"), F.when(F.col("p_size") < 10, F.concat(F.lit("--smp="), F.col("p_size").cast("string"))).when(F.col("p_size") < 20, "-c2").when(F.col("p_size") < 30, "--memoryless").otherwise(F.lit("--memory")))
+    base = F.create_map(F.lit("SEED"), F.lit("1"), F.lit("MODE"), F.lit("plain"))
+    extra = F.create_map(F.lit("MODE"), F.col("p_type"), F.lit("BRAND"), F.col("p_brand"))
+    env = F.concat_ws(",", F.transform(F.array_sort(F.map_entries(dependencies.merged(base, extra))), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return table(spark, sf, "part").select("p_partkey", dependencies.sets_reactor_resources(given).alias("sets"), env.alias("env"))
+
+
 def config_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Configuration documents made from customers, some of them faulty, validated."""
     fault = F.col("c_custkey") % 12
@@ -371,12 +415,34 @@ def packages_on_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return graph.on_cycles(edges)
 
 
+def package_status(spark: SparkSession, sf: str) -> DataFrame:
+    """2 where a segment's rules lack a name, 1 where they have a cycle, else 0; the last segment's rule of Chinese customers has none."""
+    rules = _package_rules(spark, sf)
+    named = F.when((F.col("c_mktsegment") == "MACHINERY") & (F.col("name") == "//src/CHINA:lib"), None).otherwise(F.col("name"))
+    upward = F.filter("inputs", lambda i: (F.col("c_mktsegment") != "BUILDING") | (i > F.col("name")))
+    return graph.statuses(rules.select("c_mktsegment", named.alias("name"), upward.alias("inputs")), "c_mktsegment", ["//src", "//proto"])
+
+
+_EDGES_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT c_mktsegment AS k, '//src/' || a.n_name AS src, '//src/' || b.n_name AS dst
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
+  JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey) """
+_ON_CYCLES_SQL = _EDGES_SQL + """, u AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst),
+r AS (SELECT src, dst FROM u UNION SELECT r.src, u.dst FROM r JOIN u ON u.src = r.dst),
+c AS (SELECT src AS node FROM r WHERE src = dst)
+SELECT node FROM (SELECT src AS node FROM u UNION SELECT dst FROM u)
+WHERE node IN (SELECT node FROM c) OR (node IN (SELECT dst FROM r WHERE src IN (SELECT node FROM c)) AND node IN (SELECT src FROM r WHERE dst IN (SELECT node FROM c)))"""
+_STATUS_SQL = _EDGES_SQL + """, g AS (SELECT k, src, dst FROM e WHERE NOT (k = 'BUILDING' AND dst <= src) AND NOT (k = 'MACHINERY' AND src = '//src/CHINA') AND src <> dst),
+r AS (SELECT k, src, dst FROM g UNION SELECT r.k, r.src, g.dst FROM r JOIN g ON g.k = r.k AND g.src = r.dst)
+SELECT k AS c_mktsegment, CASE WHEN bool_or(k = 'MACHINERY' AND src = '//src/CHINA') THEN 2 WHEN k IN (SELECT k FROM r WHERE src = dst) THEN 1 ELSE 0 END AS status FROM e GROUP BY k"""
+
+
 QUERIES = {f.__name__: f for f in (
     shard_sum, inventory_missing, inventory_present, inventory_errors, last_wins, union_distinct_sorted, xor_fold, first_error, ordered_search,
     redacted_render, escape_line, json_text, json_envelope, health_responses, error_catalog, metric_rollup, metric_exposition, metric_lookup,
     lifecycle_fold, lifecycle_stream, step_traces, checked_units, size_suffixes, version_fields, hex_round_trip, stamps, numbered_seeds,
     rewritten_lines, module_dependencies, inventory_table, workflow_pins, templates, path_kinds, production_sources, compile_commands,
-    config_documents, wire_messages, package_cycles, packages_on_cycles,
+    config_documents, wire_messages, package_cycles, packages_on_cycles, package_status, metric_values, metric_registry, build_info_json,
+    logger_levels, absolute_commands, reactor_arguments,
 )}
 
 ORACLE_SQL = {
@@ -411,14 +477,32 @@ SELECT p_partkey, n || s AS size, CASE WHEN n > 0 THEN CASE WHEN s IN ('GiB', 'G
     "version_fields": """SELECT p_partkey, 'version=' || p_size || '.' || p_partkey || chr(9) || 'revision=' || sha1(p_name) || chr(9) || 'mode=' || p_type || chr(9) || 'name=' || p_name AS line, sha1(p_name) AS revision, p_type AS mode, 4 AS n FROM part""",
     "hex_round_trip": "SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 2) THEN NULL ELSE p_name END AS name FROM part",
     "stamps": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '0' WHEN 1 THEN NULL ELSE o_custkey::VARCHAR END AS stamp FROM orders",
+    "packages_on_cycles": _ON_CYCLES_SQL,
+    "package_status": _STATUS_SQL,
+    "metric_values": """SELECT c_custkey, c_acctbal > 9000 AS infinite, CASE WHEN c_acctbal <= 9000 THEN (CASE WHEN c_acctbal < 0 THEN floor(c_acctbal)::BIGINT || 'e-3'
+WHEN c_mktsegment = 'BUILDING' THEN c_custkey || '000000000000' ELSE '0.0000' || c_custkey END)::DOUBLE END AS value FROM customer""",
+    "metric_registry": _LIFECYCLE_SQL.replace("WITH e AS", "WITH e AS", 1).rsplit("SELECT user_id, r.s AS state", 1)[0] + """,
+q AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id),
+m AS (SELECT f.user_id, r.s = 'ready' AS ready, r.n AS shards, r.u AS startup, r.d AS shutdowns, coalesce(q.n, 0) AS requests FROM f LEFT JOIN q ON q.user_id = f.user_id)
+SELECT user_id, 'process_readiness' AS metric, 'gauge' AS kind, ready::INT::DOUBLE AS sample, 'Whether the broker is ready for traffic' AS description FROM m
+UNION ALL SELECT user_id, 'shard_count', 'gauge', shards::DOUBLE, 'Configured reactor shard count' FROM m
+UNION ALL SELECT user_id, 'startup_duration_seconds', 'gauge', startup, 'Time from application start to readiness' FROM m
+UNION ALL SELECT user_id, 'shutdown_total', 'counter', shutdowns::DOUBLE, 'Number of initiated broker shutdowns' FROM m
+UNION ALL SELECT user_id, 'http_requests_total', 'counter', requests::DOUBLE, 'Administrative HTTP requests' FROM m""",
+    "build_info_json": """SELECT p_partkey, '{"version":"' || p_size || '.' || p_partkey || '","revision":"' || sha1(p_name) || '","build_mode":"' || p_type || '"}' AS body FROM part""",
+    "logger_levels": """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'error' WHEN c_acctbal < 1000 THEN 'warn' WHEN c_acctbal < 5000 THEN 'Debug' ELSE c_mktsegment[1] || lower(c_mktsegment[2:]) END AS log_level,
+CASE WHEN c_acctbal < 0 THEN 'ERROR' WHEN c_acctbal < 1000 THEN 'WARN' ELSE 'INFO' END AS logger_level FROM customer""",
+    "absolute_commands": """SELECT p_partkey, CASE WHEN p_size > 25 THEN '/usr/bin/cc' ELSE '/out/base/root/main/tools/cc' END || ' -c ' || p_name ||
+' /out/base/external/' || p_type || ' -I=/out/base/external/' || p_brand || '=external/x' AS command FROM part""",
+    "reactor_arguments": "SELECT p_partkey, p_size < 20 OR p_size >= 30 AS sets, 'BRAND=' || p_brand || ',MODE=' || p_type || ',SEED=1' AS env FROM part",
     "numbered_seeds": "SELECT p_brand, printf('%03d-%s', row_number() OVER (PARTITION BY p_brand ORDER BY p_name) - 1, p_name) AS seed FROM part",
     "rewritten_lines": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN 'id: ' || o_orderkey || chr(10) || 'port: 7' END AS rewritten FROM orders",
     "module_dependencies": "SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 3 > 0 THEN p_size::VARCHAR END AS version FROM part WHERE p_partkey % 7 > 0 UNION ALL SELECT p_partkey, 'extra', NULL FROM part",
     "inventory_table": "SELECT s_suppkey, s_name AS cell0, s_nationkey::VARCHAR AS cell1 FROM supplier",
     "workflow_pins": """WITH r AS (SELECT DISTINCT 'org/step-' || c_custkey % 400 AS name, CASE c_custkey % 3 WHEN 0 THEN sha1(c_name) WHEN 1 THEN 'sha256:' || sha256(c_name) ELSE 'v1' END AS revision FROM customer)
-SELECT name, revision, 'missing' AS error FROM r WHERE name LIKE '%7' UNION ALL SELECT name, revision, 'not_pinned' FROM r WHERE revision = 'v1'""",
+SELECT name, revision, 'missing' AS error FROM r WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE contains('orgstep' || s_suppkey, 'orgstep' || split_part(name, '-', 2))) UNION ALL SELECT name, revision, 'not_pinned' FROM r WHERE revision = 'v1'""",
     "templates": """WITH l AS (SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS v FROM events GROUP BY 1, 2)
-SELECT user_id, 'c=' || max(v) FILTER (event_type = 'click') || ';v=' || max(v) FILTER (event_type = 'view') AS filled FROM l GROUP BY user_id""",
+SELECT user_id, 'c=' || max(v) FILTER (event_type = 'click') || ';v=' || max(v) FILTER (event_type = 'view') || ' $x' AS filled FROM l GROUP BY user_id""",
     "path_kinds": _PATHS_SQL + """SELECT p_partkey, path,
 split_part(path, '/', 3) IN ('compile_commands.json', 'c.pyc', 'd.pb.h') OR split_part(path, '/', 1) IN ('bazel-bin', 'bazel-x') OR split_part(path, '/', 2) = 'bazel-out' AS generated,
 split_part(path, '/', 3) IN ('BUILD', 'BUILD.x.oss', 'rules.bzl') AS build,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,11 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once for each Spark context."""
     context = spark.sparkContext
     if getattr(context, "_loomlake_shipped", False):
-        return
+        return spark
     folder = Path(tempfile.mkdtemp(prefix="loomlake-"))
     target = folder / "loomlake_code.zip"
     buffer = io.BytesIO()
@@ -50,15 +51,18 @@ def ship(spark: SparkSession) -> None:
     target.write_bytes(buffer.getvalue())
     context.addPyFile(str(target))
     context._loomlake_shipped = True
+    return spark
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder under spark.checkpoint.dir, which the cluster shares.
 
-    Only where the cluster names none, as in tests, is a local folder taken.
+    Only a session in one process, as in tests, may name none; it takes a local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomlake-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -69,4 +73,13 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path, partitionBy=list(partition_by) or None)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._loomlake_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialize() has written and nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._loomlake_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,47 +2,82 @@ import pytest
 
 pytest.importorskip("yaml")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from loomlake.operators import config  # noqa: E402
 
-CASES = [
-    ("broker: {schema_version: 1, unknown: true}", "unknown_key", "broker.unknown"),
-    ("broker: {schema_version: 1, node_id: -1}", "invalid_node_id", "broker.node_id"),
-    ("broker: {schema_version: 1, data_directory: ''}", "invalid_data_directory", "broker.data_directory"),
-    ("broker: {schema_version: 1, data_directory: 123}", "invalid_type", "broker.data_directory"),
-    ("broker: {schema_version: 1, data_directory: true}", "invalid_type", "broker.data_directory"),
-    ("broker: {schema_version: 1, admin: {address: 'bad address'}}", "invalid_admin_address", "broker.admin.address"),
-    ("broker: {schema_version: 1, admin: {address: 123}}", "invalid_type", "broker.admin.address"),
-    ("broker: {schema_version: 1, admin: {address: false}}", "invalid_type", "broker.admin.address"),
-    ('broker: {schema_version: 1, admin: {address: "bad\\naddress"}}', "invalid_admin_address", "broker.admin.address"),
-    ("broker: {schema_version: 1, admin: {port: 0}}", "invalid_admin_port", "broker.admin.port"),
-    ("broker: {schema_version: 1, admin: {port: 65536}}", "invalid_admin_port", "broker.admin.port"),
-    ("broker: {schema_version: 1, admin: {unknown: true}}", "unknown_key", "broker.admin.unknown"),
-    ("broker: {schema_version: 1, log_level: verbose}", "invalid_log_level", "broker.log_level"),
-    ("broker: {schema_version: 1, log_level: 123}", "invalid_type", "broker.log_level"),
-    ("broker: {schema_version: 1, log_level: true}", "invalid_type", "broker.log_level"),
-    ("broker: {node_id: 0}", "missing_key", "broker.schema_version"),
-    ("broker: [schema_version, 1]", "invalid_type", "broker"),
-    ("broker: {schema_version: nope}", "invalid_type", "broker.schema_version"),
-    ("broker: {schema_version: 1}\nunexpected: true", "unknown_key", "root.unexpected"),
-    ("broker: {schema_version: 1", "malformed_yaml", "root"),
-    ("broker: {schema_version: 1, node_id: 1, node_id: 2}", "duplicate_key", "broker.node_id"),
-    ("broker: {schema_version: 3}", "unsupported_schema_version", "broker.schema_version"),
-    ("broker: {schema_version: 1, node_id: null}", "invalid_type", "broker.node_id"),
-    ("broker: {schema_version: 1, node_id: -1, admin: {zzz: 1}, data_directory: ''}", "invalid_node_id", "broker.node_id"),
-    ("[1, 2]", "invalid_type", "root"),
-    ("{}", "missing_key", "broker"),
-]
+#: What a scalar setting takes, and what it does not, with the error that the latter gives.
+GOOD = {"schema_version": ["1", "0x1", "01"], "node_id": ["0", "7", "0x1f", "2147483647"], "data_directory": ["'/srv/x'", "!!str 9", '"8"'], "log_level": ["trace", "error"], "developer_mode": ["on", "FALSE", "Y"]}
+BAD = {
+    "schema_version": [("9", "unsupported_schema_version"), ("one", "invalid_type"), ("~", "invalid_type"), ("[1]", "invalid_type"), ("08", "invalid_type")],
+    "node_id": [("-5", "invalid_node_id"), ("2147483648", "invalid_node_id"), ("x7", "invalid_type"), ("{}", "invalid_type"), ("1.5", "invalid_type")],
+    "data_directory": [("'  '", "invalid_data_directory"), ("44", "invalid_type"), ("no", "invalid_type"), ("-.5e3", "invalid_type"), ("0x2a", "invalid_type")],
+    "log_level": [("chatty", "invalid_log_level"), ("INFO", "invalid_log_level"), ("6", "invalid_type"), ("off", "invalid_type")],
+    "developer_mode": [("2", "invalid_type"), ("perhaps", "invalid_type"), ("[]", "invalid_type")],
+}
+ADMIN_GOOD = {"address": ["'::1'", "host.example"], "port": ["1", "65535", "0x50"]}
+ADMIN_BAD = {
+    "address": [("'tab\\there'", None), ('"tab\\there"', "invalid_admin_address"), ("'two words'", "invalid_admin_address"), ("12", "invalid_type"), ("yes", "invalid_type")],
+    "port": [("-1", "invalid_admin_port"), ("70000", "invalid_admin_port"), ("web", "invalid_type")],
+}
+
+
+def document(root="top", admin=(), **settings):
+    """A block-style document of these settings; the version is there unless given."""
+    lines = [f"{root}:"] + [f"  {k}: {v}" for k, v in {"schema_version": "1", **settings}.items() if v is not None]
+    if admin:
+        lines += ["  admin:"] + [f"    {k}: {v}" for k, v in admin]
+    return "\n".join(lines) + "\n"
+
+
+def cases():
+    for name, values in GOOD.items():
+        for value in values:
+            yield document(**{name: value}), None
+    for name, values in BAD.items():
+        for value, code in values:
+            yield document(**{name: value}), (code, f"top.{name}")
+    for name, values in ADMIN_GOOD.items():
+        for value in values:
+            yield document(admin=[(name, value)]), None
+    for name, values in ADMIN_BAD.items():
+        for value, code in values:
+            yield document(admin=[(name, value)]), code and (code, f"top.admin.{name}")
+    # Structure: unknown, repeated and missing keys, other shapes, and text that is no YAML.
+    yield document(colour="red"), ("unknown_key", "top.colour")
+    yield document(admin=[("host", "x")]), ("unknown_key", "top.admin.host")
+    yield document() + "second: {}\n", ("unknown_key", "root.second")
+    yield document(node_id="4") + "  node_id: 5\n", ("duplicate_key", "top.node_id")
+    yield document(admin=[("port", "5"), ("port", "6")]), ("duplicate_key", "top.admin.port")
+    yield document(schema_version=None, node_id="4"), ("missing_key", "top.schema_version")
+    yield "{}", ("missing_key", "top")
+    yield "- top", ("invalid_type", "root")
+    yield "top: 5", ("invalid_type", "top")
+    yield "top: {schema_version: 1, admin: 5}", ("invalid_type", "top.admin")
+    yield document() + "  broken: [", ("malformed_yaml", "root")
+    # Of several errors, the first in the order of the checks.
+    order = ["schema_version", "node_id", "data_directory", "log_level", "developer_mode"]
+    for at in range(len(order) - 1):
+        yield document(**{n: BAD[n][0][0] for n in reversed(order[at:])}), (BAD[order[at]][0][1], f"top.{order[at]}")
 
 
 def test_errors(spark):
-    frame = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, yaml string")
-    got = {r.i: (r.error.code, r.error.field) for r in config.validated(config.parsed(frame, "yaml", "broker"), "broker").collect()}
-    assert got == {i: c[1:] for i, c in enumerate(CASES)}
+    every = list(cases())
+    frame = spark.createDataFrame([(i, c[0]) for i, c in enumerate(every)], "i int, yaml string")
+    got = {r.i: r.error and (r.error.code, r.error.field) for r in config.validated(config.parsed(frame, "yaml", "top"), "top").collect()}
+    assert {i: (c[0], got[i]) for i, c in enumerate(every) if got[i] != c[1]} == {}
 
 
 def test_defaults_and_strings(spark):
-    texts = ["broker: {schema_version: 1}", "broker: {schema_version: 1, data_directory: '123', admin: {address: !!str 7, port: 80}, developer_mode: Yes}"]
+    texts = [document(), document(data_directory="'5'", node_id="0x10", developer_mode="Yes", admin=[("address", "!!str 7"), ("port", "010")])]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, yaml string")
-    rows = config.validated(config.parsed(frame, "yaml", "broker"), "broker").withColumn("line", config.rendered()).orderBy("i").collect()
+    rows = config.validated(config.parsed(frame, "yaml", "top"), "top").withColumn("line", config.rendered()).withColumn("level", config.log_levels()).orderBy("i").collect()
     assert rows[0].line == "schema_version=1 node_id=0 data_directory=./data admin_address=127.0.0.1 admin_port=9644 log_level=info developer_mode=false"
-    assert rows[1].line == "schema_version=1 node_id=0 data_directory=123 admin_address=7 admin_port=80 log_level=info developer_mode=true"
+    assert rows[1].line == "schema_version=1 node_id=16 data_directory=5 admin_address=7 admin_port=8 log_level=info developer_mode=true"
+    assert rows[0].level == "INFO"
+
+
+def test_logger_levels(spark):
+    rows = spark.createDataFrame([(level,) for level in [*config.LEVELS, "other", None]], "log_level string").select(config.log_levels().alias("x"))
+    assert [r.x for r in rows.collect()] == ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "INFO", "INFO"]
+    assert spark.range(1).select(F.lit(1)).count() == 1

@@ -1,3 +1,6 @@
+import random
+import string
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ def test_redaction(spark):
     assert one(spark, line, v="x\ny") == "a=x\\ny token=<redacted>"
 
 
-@pytest.mark.parametrize("size, mib", [("2GiB", 2048), ("3GB", 3072), ("1G", 1024), ("512MiB", 512), ("7MB", 7), ("9M", 9), ("0M", None), ("-1M", None), ("1.5G", None), ("12", None), ("K", None), ("M", None)])
+@pytest.mark.parametrize("size, mib", [("2GiB", 2048), ("3GB", 3072), ("1G", 1024), ("512MiB", 512), ("7MB", 7), ("9M", 9), ("0M", None), ("-1M", None), ("1.5G", None), ("12", None), ("K", None), ("M", None), ("007M", 7), ("99999999999999999G", 99999999999999999 * 1024), ("9" * 35 + "M", None)])
 def test_sizes(spark, size, mib):
     assert one(spark, text.size_mib(F.col("s")), s=size) == mib
 
@@ -46,7 +49,7 @@ def test_fields_and_search(spark):
     assert one(spark, text.ordered_end(F.col("s"), ["ab", "ab"]), s="xabyab") == 7
     assert one(spark, text.ordered_end(F.col("s"), ["ab", "b"]), s="ab") is None
     assert one(spark, text.normalized(F.col("s")), s="Rules_CC 2.0é") == "rulescc20é"
-    assert one(spark, text.unsigned_or_default(F.lit(None).cast("string"))) == "0"
+    assert one(spark, text.unsigned_or_default(F.lit(None).cast("string"))) == one(spark, text.unsigned_or_default(F.lit(""))) == "0"
     assert one(spark, text.unsigned_or_default(F.col("s")), s="12\n") is None
     assert one(spark, text.rewritten_once(F.col("s"), "a.", "b"), s="a1a2") is None
 
@@ -87,6 +90,79 @@ def test_metrics(spark):
     assert one(spark, state.metric_value(F.col("t"), F.lit("n")), t='n{a="1"} 1.5\nnn 2') == 1.5
 
 
+@pytest.mark.parametrize("form", ["1e+06", "+Inf", "0.00012345678", "1234567890123456", "-3", "NaN"])
+def test_metric_forms(spark, form):
+    got = one(spark, state.metric_value(F.col("t"), F.lit("m")), t=f"m {form}\n")
+    assert got == float(form) or got != got and form == "NaN"
+
+
+def test_wire_lengths(spark):
+    sizes = [0, 1, 127, 128, 16_383, 16_384, 40_000, 2_097_151, 2_097_152, 268_435_455, 268_435_456, 2**31 - 1]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", codec._varint(F.col("n")).alias("v")).collect()
+    for n, v in rows:
+        assert bytes(v)[-1] < 128 and all(b & 128 for b in bytes(v)[:-1])
+        assert sum((b & 127) << 7 * k for k, b in enumerate(bytes(v))) == n
+        assert len(v) == max(1, -(-n.bit_length() // 7))
+
+
+def test_arguments_and_environment(spark):
+    given = F.array(*map(F.lit, ["cc", "external/a.h", "-I=external/x=external/y", "plain"]))
+    assert one(spark, dependencies.absolute_arguments(given, F.lit("/o/b/r/main"))) == ["/o/b/r/main/cc", "/o/b/external/a.h", "-I=/o/b/external/x=external/y", "plain"]
+    assert one(spark, dependencies.absolute_arguments(F.array(F.lit("/cc")), F.lit("/o/b/r/main"))) == ["/cc"]
+    assert one(spark, dependencies.absolute_arguments(F.array().cast("array<string>"), F.lit("/o/b/r/main"))) == []
+    for argument, sets in {"-c": True, "-m4": True, "--memory=1": True, "--memories": False, "--smp": True, "x-c": False}.items():
+        assert one(spark, dependencies.sets_reactor_resources(F.array(F.lit("first"), F.lit(argument)))) is sets
+    assert one(spark, dependencies.merged(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3")))) == {"a": "1", "b": "3"}
+
+
+def test_numbered(spark):
+    rows = [("k", f"v{i % 7}", i) for i in range(200)] + [("n", "v", 0), (None, "x", 1), (None, "w", 2)]
+    got = relational.numbered(spark.createDataFrame(rows, "key string, v string, n int"), "key", "v", "n").collect()
+    for key in ("k", "n", None):
+        own = sorted((r.v, r.n) for r in got if r.key == key)
+        assert [(r.v, r.n) for r in sorted((r for r in got if r.key == key), key=lambda r: r.i)] == own
+        assert sorted(r.i for r in got if r.key == key) == list(range(len(own)))
+
+
+def test_lifecycle_in_pieces(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), i, rng.choice(["listener", "ready", "shutdown", "stopped", "other"]), float(rng.randrange(9))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "key string, seq int, kind string, value double")
+    whole, pieces = ([tuple(r) for r in state.lifecycle(frame, "key", ["seq"], "kind", "value", n).orderBy("key").collect()] for n in (1000, 3))
+    assert whole == pieces
+    from loomlake.streaming.lifecycle import advance
+
+    for found in whole:
+        s = ("stopped", 0, 0.0, 0, 0)
+        for key, _, kind, value in rows:
+            s = advance(s, kind, value) if key == found[0] else s
+        assert found[1:5] == s[:4]
+
+
+def test_statuses(spark):
+    rules = [("k", "//s/a:x", ["//s/b:y"]), ("k", "//s/b:y", ["//s/a:x"]), ("n", "//s/a:x", ["//s/b:y", "//s/a:z"]), ("n", "//s/b:y", []), ("bad", None, []), ("bad", "//s/a:x", [])]
+    frame = spark.createDataFrame(rules, "key string, name string, inputs array<string>")
+    assert {r.key: r.status for r in graph.statuses(frame, "key", ["//s"]).collect()} == {"k": 1, "n": 0, "bad": 2}
+
+
+def test_containment_edges(spark):
+    names = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, ""), (4, None), (5, "b"), (6, "zz")], "id int, name string")
+    rows = spark.createDataFrame([("xabx", 1), (None, 2), ("", 3), ("b", 4)], "cell string, name int")
+    got = sorted((r.id, r.name) for r in relational.containing(names, "id", "name", rows, "cell", "name").collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (3, 3), (3, 4), (5, 1), (5, 4)]
+    assert relational.containing(names.limit(0), "id", "name", rows, "cell").count() == 0
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from loomlake import session
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.scratch(cluster, "x")
+
+
 def test_wire_format(spark):
     golden = bytes.fromhex("0a05302e312e301210303132333435363738396162636465661a0772656c65617365")
     assert codec.parse(golden) == ("0.1.0", "0123456789abcdef", "release")
@@ -109,10 +185,17 @@ def test_dependencies(spark):
     assert [(r.cell0, r.cell1) for r in rows] == [("Rules CC", "0.1")]
     workflow = "uses: a/b@v1\nuses: c/d@" + "0" * 40 + "\nrun: ./x/y@z a/b@v1"
     refs = dependencies.workflow_references(spark.createDataFrame([(workflow,)], "t string"), "t")
-    errors_ = dependencies.workflow_errors(refs, F.col("name") == "c/d").collect()
+    errors_ = dependencies.workflow_errors(refs, spark.createDataFrame([("the C-D step",), ("A",)], "cell0 string")).collect()
     assert sorted((r.name, r.error) for r in errors_) == [("a/b", "missing"), ("a/b", "not_pinned")]
     assert one(spark, dependencies.substituted(F.lit("v ${A} ${A} ${B}"), F.create_map(F.lit("A"), F.lit("1"), F.lit("B"), F.lit("2")))) == "v 1 1 2"
     assert one(spark, dependencies.substituted(F.lit("${C}"), F.create_map(F.lit("A"), F.lit("1")))) is None
+    chained = F.create_map(F.lit("a"), F.lit("${b}"), F.lit("b"), F.lit("z"))
+    for template in ("${a}|${b}", "$a$b_", "$$a $b.", "cost: $$5 ${b}", "", "plain\n$b\n", "$", "${9x}", "$9", "${b", "a $ b"):
+        try:
+            expected = string.Template(template).substitute({"a": "${b}", "b": "z"})
+        except (KeyError, ValueError):
+            expected = None
+        assert one(spark, dependencies.substituted(F.lit(template), chained)) == expected, template
 
 
 def test_inventory_join(spark, monkeypatch):
@@ -126,7 +209,7 @@ def test_inventory_join(spark, monkeypatch):
 
 
 def test_paths(spark):
-    cases = {"bazel-out/a.cc": (True, False), "bazel-thirdparty/a.cc": (False, False), "src/x/compile_commands.json": (True, False), "a/b.pyc": (True, False), "a/BUILD.z.oss": (False, True), "BUILD": (False, True), "a/WORKSPACE.x": (False, False)}
+    cases = {"bazel-out/a.cc": (True, False), "bazel-thirdparty/a.cc": (False, False), "src/x/compile_commands.json": (True, False), "a/b.pyc": (True, False), "a/BUILD.z.oss": (False, True), "BUILD": (False, True), "a/WORKSPACE.x": (False, False), "a/.bzl": (False, False), "a/x.bzl": (False, True)}
     rows = spark.createDataFrame([(p,) for p in cases], "p string")
     got = rows.select("p", paths.is_generated(F.col("p")).alias("g"), paths.is_build_file(F.col("p")).alias("b")).collect()
     assert {r.p: (r.g, r.b) for r in got} == cases
