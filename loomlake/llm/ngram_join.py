@@ -12,21 +12,26 @@ anything else. These first shingles are dealt out by their hash in packed arrays
 2. Lists of up to LIGHT classes give all their pairs; longer lists give a star from one
    class, and keep their members for step 4. Either way a pair counts only where the
    shingles from this one on suffice for the overlap: it is found at the first they share.
+   Shingles in HOT classes or more are dealt out as rows by class, and their stars are a
+   grouped minimum and a join, so no list of any length is in one task.
 3. Candidate pairs are gathered by one of their ends, in chunks, and each is searched with
    DivideSkip: the inverted lists of the query's shingles over the chunk's documents; the
    shorter lists are merged with a heap, the longer are probed by binary search for those
    documents that can still reach the required overlap, which decides exactly.
-4. In long lists whose members the links have not joined yet, those outside the largest
-   component meet some others in a random order, for a few rounds; then every pair across
-   the components left is searched as in step 3. Nothing is capped or dropped.
+4. Long lists whose members the links have not joined yet: members meet those that fall into
+   the same small random cell; then every block of members meets every block that may hold
+   another component, each pair of blocks a group of its own. Bitmaps and positions are
+   compared inside such a group, and only pairs that may be linked leave it, to be searched
+   as in step 3. Nothing is capped or dropped.
 
 The links' connected components, over one representative a class, are the answer of join(),
 which so leaves pairs of one component unverified; links() verifies every pair that can be linked.
 
 Cases: texts without words have the empty set, link with nothing and are their own
 component; fewer words than a shingle make one shingle of all; rows with a null id link with
-nothing and have a null component; rows with equal ids share their component; class names are
-64-bit hashes of the set.
+nothing and have a null component; rows with equal ids share their component; an empty table
+gives no rows; other columns, whatever their names, are not read; a long text is one row of one
+task, which holds some ten times its bytes; class names are 64-bit hashes of the set.
 """
 
 from __future__ import annotations
@@ -39,12 +44,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.session import materialize
 
-from .common import batches, checked, mix, most_frequent, prepare, release, shingle_set, signed, texts_of, without
+from .common import batches, checked, groups_of, mix, most_frequent, prepare, release, shingle_set, signed, texts_of, without
 from .components import components
 
 U64 = np.uint64
@@ -57,13 +62,20 @@ OFTEN = 4
 #: Distinct shingles that are counted at once in a task.
 COUNTED = 600_000
 CHUNK = 256
-#: Rounds in which members of long lists meet some others, before all that are not joined by then meet.
+#: Classes of a shingle, as counted, from which its list is dealt out by class.
+HOT = 200_000
+#: Prefix shingles that a group of lists holds.
+BUCKET = 250_000
+#: Rounds in which members of long lists meet those of their random cell, and classes in a cell.
 ROUNDS = 1
+CELL = 32
+#: Classes of a long list in one block.
+BLOCK = 2048
 #: What pairs of members l and r of a list must reach, as in reachable().
 REACHABLE = "7 * least(l.rest, r.rest) >= 3 * (l.n + r.n)"
 MU = 0.01
-#: Classes of a long list in one block, where all links are asked for.
-BLOCK = 256
+#: Bytes of bitmaps that are compared at once.
+COMPARED = 4 << 20
 
 
 def class_name(shingles: np.ndarray) -> int:
@@ -132,29 +144,34 @@ def reachable(a: np.ndarray, b: np.ndarray, size: np.ndarray, rest: np.ndarray)
     return a[fits], b[fits]
 
 
-def candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, buckets: int, id_col: str) -> DataFrame:
-    """kind 0: a, b candidate classes. kind 1: members b, of size n and with rest left, of a long list a."""
+def candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, buckets: int, id_col: str) -> DataFrame:
+    """kind 0: a, b candidate classes. kind 1: members b, of size n and with rest left, of a long list a; kind 2: of a hot one."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        often, rank = shared.value
+        often, rank, hot = shared.value
         known: set[int] = set()
         held: list[tuple[np.ndarray, int, int]] = []
 
         def flush() -> pa.RecordBatch:
             h = np.concatenate([x for x, _, _ in held])
             lengths = [len(x) for x, _, _ in held]
-            cell = (h >> U64(32)) % U64(buckets)
+            cell = ((h >> U64(32)) % U64(buckets)).astype(np.int64)
+            name = np.repeat(np.array([c for _, c, _ in held], np.int64), lengths)
+            if len(hot):
+                # Beyond the buckets: as many again for each of them, dealt by class.
+                there = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                cell[there] += buckets * (1 + (name[there].view(U64) % U64(64)).astype(np.int64))
             order = np.argsort(cell, kind="stable")
-            name = np.repeat(np.array([c for _, c, _ in held], np.int64), lengths)[order]
+            name = name[order]
             size = np.repeat(np.array([n for _, _, n in held], np.uint32), lengths)[order]
             rest = np.concatenate([np.arange(n, n - k, -1) for (_, _, n), k in zip(held, lengths)]).astype(np.uint32)[order]
             low = (h & U64(0xFFFFFFFF)).astype(np.uint32)[order]
             found, first = np.unique(cell[order], return_index=True)
             cuts = [*first.tolist(), len(order)]
             cols = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for x in (low, name, size, rest)]
-            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "low", "name", "size", "rest"])
+            return pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "low", "name", "size", "rest"])
 
         total = 0
         for batch in batches(rows):
@@ -191,6 +208,9 @@ def candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width:
         low, name, size, rest = low[order], name[order], size[order].astype(np.int64), rest[order].astype(np.int64)
         new = np.r_[True, (low[1:] != low[:-1]) | (name[1:] != name[:-1])]
         low, name, size, rest = low[new], name[new], size[new], rest[new]
+        bucket = group.column("bucket")[0].as_py()
+        if bucket >= buckets:
+            return pa.table({"kind": np.full(len(low), 2, np.int32), "a": low.astype(np.int64) * buckets + bucket % buckets, "b": name, "n": size, "rest": rest})
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         count = np.diff(np.r_[first, len(low)])
         out_a, out_b, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
@@ -212,12 +232,11 @@ def candidates(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width:
         a, b = a[order], b[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
         a, b = a[new], b[new]
-        bucket = group.column("bucket")[0].as_py()
         where = np.concatenate([r.ravel() for r in members]) if members else np.zeros(0, np.int64)
         kind = np.r_[np.zeros(len(a), np.int32), np.ones(len(where), np.int32)].astype(np.int32)
         return pa.table({"kind": kind, "a": np.r_[a, low[where].astype(np.int64) * buckets + bucket], "b": np.r_[b, name[where]], "n": np.r_[np.zeros(len(a), np.int64), size[where]], "rest": np.r_[np.zeros(len(a), np.int64), rest[where]]})
 
-    dealt = texts_of(docs, id_col).mapInArrow(deal, "bucket int, low binary, name binary, size binary, rest binary")
+    dealt = texts_of(docs, id_col).mapInArrow(deal, "bucket long, low binary, name binary, size binary, rest binary")
     met = dealt.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, n long, rest long")
     return materialize(met, "candidates", "kind")
 
@@ -322,19 +341,86 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return blocks.mapInArrow(search, "a long, b long")
 
 
-def _met(own: DataFrame, step: int) -> DataFrame:
-    """list, l, r: members outside the largest component of their list meet the next ones in a random order.
+def folded(bits: list[bytes]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Words of each bitmap, and by number of words: where each row's bitmap stands and the bitmaps, those of twice the width folded."""
+    width = np.array([len(x) // 8 for x in bits], np.int64)
+    levels = {}
+    for w in np.unique(width).tolist():
+        place, rows = np.full(len(bits), -1, np.int64), []
+        for factor in (1, 2):
+            own = np.flatnonzero(width == factor * w)
+            place[own] = np.arange(len(own)) + sum(map(len, rows))
+            found = np.frombuffer(b"".join(bits[i] for i in own.tolist()), U64).reshape(len(own), factor * w)
+            rows.append(found[:, :w] if factor == 1 else found[:, :w] ^ found[:, w:])
+        levels[w] = place, np.concatenate(rows)
+    return width, levels
+
+
+def may_link(name: np.ndarray, n: np.ndarray, rest: np.ndarray, label: np.ndarray, bits: list[bytes], side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names of the pairs, of different labels, that sizes, positions and bitmaps allow: of rows of side 0 with rows of side 1, or of all rows where the side is 2."""
+    width, levels = folded(bits)
+    lefts, rights, diagonal = np.flatnonzero(side != 1), np.flatnonzero(side != 0), bool((side == 2).all())
+    step = max(1, 1_000_000 // max(1, len(rights)))
+    for at in range(0, len(lefts), step):
+        i = lefts[at : at + step, None]
+        fits = (label[i] != label[rights]) & (7 * np.minimum(rest[i], rest[rights]) >= 3 * (n[i] + n[rights]))
+        if diagonal:
+            fits &= name[i] < name[rights]
+        a, b = np.nonzero(fits)
+        a, b = lefts[at + a], rights[b]
+        level = np.minimum(width[a], width[b])
+        for w, (place, rows) in levels.items():
+            own = np.flatnonzero(level == w)
+            for x in range(0, len(own), max(1, COMPARED // (8 * w))):
+                k = own[x : x + max(1, COMPARED // (8 * w))]
+                p, q = a[k], b[k]
+                both = n[p] + n[q]
+                shared = (both - np.bitwise_count(rows[place[p]] ^ rows[place[q]]).sum(1, dtype=np.int64)) // 2
+                good = 7 * shared >= 3 * both
+                yield name[p[good]], name[q[good]]
+
+
+def met(groups: DataFrame, *key: str) -> DataFrame:
+    """a < b, distinct: the pairs that may be linked within the groups of name, n, rest, label, bits, side by this key."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for _, group in groups_of(rows, "run"):
+            name, n, rest, label, side = (group.column(c).to_numpy() for c in ("name", "n", "rest", "label", "side"))
+            for a, b in may_link(name, n, rest, label, group.column("bits").to_pylist(), side):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    run_ = F.xxhash64(*key).alias("run")  # two groups of one hash meet as one, which asks for more pairs and loses none
+    dealt = groups.select(run_, "name", "n", "rest", "label", "bits", "side").repartition("run").sortWithinPartitions("run")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def in_cells(members: DataFrame, step: int) -> DataFrame:
+    """Pairs of members of a list that fall into the same random cell of about CELL."""
+    cells = members.groupBy("list").agg(F.ceil(F.count("*") / CELL).alias("k"))
+    dealt = members.join(cells, "list").withColumn("cell", F.pmod(F.xxhash64("name", "list", F.lit(step)), F.col("k")))
+    return met(dealt.withColumn("side", F.lit(2)), "list", "cell")
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Pairs of members of a list that have different labels, all of them.
 
-    They meet as many as make no more rows than there are members, 64 at most.
+    A label with BLOCK members in a list has blocks of its own, which do not meet each other;
+    the others share blocks.
     """
-    largest = own.groupBy("list", "l.label").count().groupBy("list").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.sum("count").alias("size"))
-    at = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("l.name", "list", F.lit(step)), "l.name"))
-    placed = materialize(own.withColumn("at", at).join(largest, "list"), "placed")
-    outside = placed.where("l.label <> major")
-    partners = max(1, min(64, placed.count() // max(1, outside.count())))
-    asked = outside.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(partners)))).where("k < size")
-    asked = asked.select("list", "l", ((F.col("at") - 1 + F.col("k")) % F.col("size") + 1).alias("at"))
-    return asked.join(placed.select("list", "at", F.col("l").alias("r")), ["list", "at"]).where("l.label <> r.label")
+    sizes = members.groupBy("list", "label").agg(F.count("*").alias("c"))
+    pure = (F.col("c") >= BLOCK).alias("pure")
+    small = sizes.groupBy("list").agg(F.coalesce(F.sum(F.when(F.col("c") < BLOCK, F.col("c"))), F.lit(0)).alias("small"))
+    number = F.when(F.col("c") >= BLOCK, F.pmod(F.xxhash64("name"), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), F.ceil(F.col("small") / BLOCK))))
+    own = F.when(F.col("c") >= BLOCK, F.col("label"))
+    block = F.struct(pure, own.alias("own"), number.alias("number"))
+    placed = materialize(members.join(sizes, ["list", "label"]).join(small, "list").select("list", "name", "n", "rest", "label", "bits", block.alias("block")), "blocks")
+    blocks = placed.select("list", "block").distinct()
+    pairs = blocks.select("list", F.col("block").alias("i")).join(blocks.select("list", F.col("block").alias("j")), "list")
+    pairs = pairs.where("i <= j AND NOT (i.pure AND j.pure AND i.own = j.own)")
+    left = placed.join(pairs.withColumn("block", F.col("i")), ["list", "block"]).withColumn("side", F.when(F.col("i") == F.col("j"), 2).otherwise(0))
+    right = placed.join(pairs.where("i < j").withColumn("block", F.col("j")), ["list", "block"]).withColumn("side", F.lit(1))
+    return met(left.unionByName(right), "list", "i", "j")
 
 
 def _routed(docs: DataFrame, width: int, id_col: str):
@@ -347,26 +433,34 @@ def _routed(docs: DataFrame, width: int, id_col: str):
     top = most_frequent(counted, "n", FREQUENT).toPandas().sort_values(["n", "x"], ascending=[False, True])
     shingle = top["x"].to_numpy(np.int64).view(U64)
     order = np.argsort(shingle)
-    frequent = shingle[order], (len(top) - np.arange(len(top)))[order].astype(np.int32)
+    hot = np.sort(shingle[top["n"].to_numpy(np.int64) >= HOT])
+    frequent = shingle[order], (len(top) - np.arange(len(top)))[order].astype(np.int32), hot
 
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shingles = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // 4 // BUCKET)
     known = docs.where(F.col(id_col).isNotNull())
     found = candidates(known, frequent, width, buckets, id_col)
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-    members = found.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("name"), "n", "rest")
+    pairs = found.where("kind = 0").select("a", "b")
+    members = found.where("kind > 0").select(F.col("a").alias("list"), F.col("b").alias("name"), "n", "rest")
+    if len(hot):
+        entry = F.struct("name", "n", "rest")
+        own = found.where("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("name"), "n", "rest").groupBy("list", "name").agg(F.max("n").alias("n"), F.max("rest").alias("rest"))
+        stars = own.select("list", entry.alias("r")).join(own.groupBy("list").agg(F.min(entry).alias("l")), "list").where("l.name < r.name").where(REACHABLE)
+        pairs = pairs.unionAll(stars.select(F.least("l.name", "r.name").alias("a"), F.greatest("l.name", "r.name").alias("b")))
+        members = found.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("name"), "n", "rest").unionByName(own)
+    pairs = pairs.distinct()
 
     bitmaps = base.where("kind = 0 AND bits IS NOT NULL").groupBy(F.col("y").alias("name")).agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
-    def search(asked: DataFrame) -> DataFrame:
-        likely = plausible(asked, bitmaps)
+    def search(likely: DataFrame) -> DataFrame:
         return materialize(verified(likely, sets_of(known, classes, likely, width, id_col)), "links")
 
-    return rows, classes, pairs, members, search
+    return rows, classes, plausible(pairs, bitmaps), members, bitmaps.drop("n"), search
 
 
 def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
-    rows, classes, pairs, members, search = _routed(docs, width, id_col)
+    rows, classes, pairs, members, bitmaps, search = _routed(docs, width, id_col)
     links = search(pairs)
 
     def labelled(linked: DataFrame) -> DataFrame:
@@ -381,10 +475,9 @@ def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
         members = materialize(placed.join(split, "list"), "long-lists")
         if not members.limit(1).count():
             break
-        own = members.select("list", F.struct("name", "n", "rest", "label").alias("l"))
-        both = _met(own, step) if step < ROUNDS else own.join(own.withColumnRenamed("l", "r"), "list").where("l.name < r.name AND l.label <> r.label")
-        more = both.where(REACHABLE).select(F.least("l.name", "r.name").alias("a"), F.greatest("l.name", "r.name").alias("b")).distinct()
-        links = links.unionAll(search(more.join(pairs, ["a", "b"], "left_anti")))
+        known = members.join(bitmaps, "name")
+        more = in_cells(known, step) if step < ROUNDS else in_blocks(known)
+        links = links.unionAll(search(materialize(more.join(pairs, ["a", "b"], "left_anti"), "asked")))
         joined = labelled(links)
         members = members.drop("label")
     answer = rows.join(classes, "name", "left").join(joined, F.col("class_id") == F.col("node"), "left")
@@ -394,17 +487,12 @@ def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
 def links(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
     """class_a, class_b (a < b): every two classes that are linked, by their class_id.
 
-    Long lists are cut into blocks of about BLOCK classes, and each block meets each in rows of
-    their own, so a pair is lost nowhere and no list is one task. The output grows with the
+    Long lists are cut into blocks of about BLOCK classes, and each block meets each in a group
+    of its own, so a pair is lost nowhere and no list is one task. The output grows with the
     links: n near copies of each other have n * (n - 1) / 2.
     """
-    _, classes, pairs, members, search = _routed(docs, width, id_col)
-    blocks = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
-    own = members.join(blocks, "list").select("list", F.struct("name", "n", "rest").alias("l"), "k", F.pmod(F.xxhash64("name"), F.col("k")).alias("own"))
-    lefts = own.select("list", "l", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("k") - 1)).alias("j"))
-    rights = own.select("list", F.col("l").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("i"), F.col("own").alias("j"))
-    met = lefts.join(rights, ["list", "i", "j"]).where("i < j OR l.name < r.name").where(REACHABLE)
-    more = met.select(F.least("l.name", "r.name").alias("a"), F.greatest("l.name", "r.name").alias("b"))
+    _, classes, pairs, members, bitmaps, search = _routed(docs, width, id_col)
+    more = in_blocks(members.withColumn("label", F.col("name")).join(bitmaps, "name"))
     found = search(materialize(pairs.unionAll(more).distinct(), "asked"))
     ends = found.join(classes.withColumnsRenamed({"name": "a", "class_id": "ca"}), "a").join(classes.withColumnsRenamed({"name": "b", "class_id": "cb"}), "b")
     return ends.select(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"))

@@ -51,11 +51,14 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("light", [32, 3])
-def test_join_against_brute_force(make_docs, light, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LIGHT", light)
+@pytest.mark.parametrize("light, block, hot, often", [(32, 2048, 200_000, 4), (3, 5, 200_000, 4), (3, 5, 6, 2)])
+def test_join_against_brute_force(make_docs, light, block, hot, often, monkeypatch):
+    for constant, value in (("LIGHT", light), ("BLOCK", block), ("HOT", hot), ("OFTEN", often)):
+        monkeypatch.setattr(ngram_join, constant, value)
     rows = [r for r in ODD if r[0] is not None] + corpus(light, 400)
     rows += [(5000 + i, " ".join(f"n{j}" if j != i % 80 else f"x{i}" for j in range(80))) for i in range(90)]
+    # too far from each other to be linked, though they share their shingles' list
+    rows += [(6000 + i, " ".join(f"m{j}" if j % 27 != i % 27 else f"y{i}" for j in range(80))) for i in range(40)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(make_docs(rows, extra=("name", "n_shingles", "a"))).collect()}
     assert got == brute_components(rows)
 
@@ -88,6 +91,21 @@ def test_bitmap_bound():
             assert ngram_join.most_shared(len(a), len(b), ngram_join.parity(a), ngram_join.parity(b)) >= len(np.intersect1d(a, b))
 
 
+def test_pairs_that_may_be_linked():
+    rng = np.random.default_rng(2)
+    sets = []
+    for k in range(60):
+        base = np.unique(np.random.default_rng(k % 6).integers(0, 2**63, 10 + 40 * (k % 6)).astype(np.uint64))
+        sets.append(np.unique(np.r_[base[rng.random(len(base)) < 0.95], rng.integers(0, 2**63, k % 4).astype(np.uint64)]))
+    name, n = np.arange(60) * 7, np.array([len(s) for s in sets])
+    label, bits = np.arange(60) % 10, [ngram_join.parity(s) for s in sets]
+    linked = {(7 * i, 7 * j) for i in range(60) for j in range(i) if label[i] != label[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    for side in (np.full(60, 2), np.arange(60) // 6 % 2):
+        found = {(max(x, y), min(x, y)) for a, b in ngram_join.may_link(name, n, n, label, bits, side) for x, y in zip(a.tolist(), b.tolist())}
+        wanted = linked if side[0] == 2 else {(a, b) for a, b in linked if a // 42 % 2 != b // 42 % 2}
+        assert wanted and wanted <= found and len(found) < 3 * len(wanted) + 20
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
