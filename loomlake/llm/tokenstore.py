@@ -1,7 +1,7 @@
 """Operator 10: a binary token store whose shards carry a minimal perfect hash index.
 
-Documents are dealt by ranges of doc_id and encoded in that order. A shard is one row of a
-Parquet table: raw little-endian ids, end offsets, and an index of the shard's keys. The
+Documents are encoded where they lie; what is dealt by ranges of doc_id is their ids, two bytes
+each. A shard is one row of a Parquet table: raw little-endian ids, end offsets, and an index of the shard's keys. The
 index is a cascade of bit arrays (keys that meet no other in a level are settled there, the
 rest go one level down); the rank of a key's bit is its slot, and the slot holds a 32-bit
 fingerprint of the key and the place of its document. A lookup so reads one bit in a few
@@ -9,7 +9,9 @@ levels, one fingerprint and one offset, whatever the size of the shard.
 
 Cases: null text is the empty text and has the end id only; null doc_id is a key of its
 own and comes first; rows with the same doc_id share a slot, which names the first of them
-and how many follow; an empty table gives an empty store.
+and how many follow, and go on in the next shard where one is full; an empty table gives an
+empty store; other columns, whatever their names, are not read; a long text is one row, which
+a shard holds whole beyond its size.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomlake.session import scratch
+from loomlake.session import discard, materialize, scratch
 
 from .common import batches, kept, mix, prepare, texts_of
 from .pieces import Remembered
@@ -33,6 +35,8 @@ NULL_KEY = -(1 << 63)
 SHARD_BYTES = 2 << 20
 #: Shards whose starts are broadcast; beyond, they are joined.
 BROADCAST_SHARDS = 500_000
+#: Keys that a shard is asked for at once.
+ASKED = 10_000
 COLUMNS = "part int, shard int, first_id long, last_id long, n_docs long, n_tokens long, width int, payload binary, ends binary, keys binary, bits binary, fingerprints binary, places binary"
 
 
@@ -97,21 +101,18 @@ class PerfectHash:
 class Tokenizer:
     """The tokenizers library over texts; holds the ids of the words that it has met.
 
-    With added, an added token in a text is that token, as the library has it by itself; such
-    texts are encoded whole, since the token may reach over the words that are remembered.
-    Without, it is read as plain characters.
+    An added token in a text is that token, as the library has it; such texts are encoded
+    whole, since the token may reach over the words that are remembered.
     """
 
-    def __init__(self, definition: str, dtype: str, added: bool = False):
+    def __init__(self, definition: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import tokenizers
 
         self.own = tokenizers.Tokenizer.from_str(definition)
-        self.own.encode_special_tokens = not added
         self.dtype = dtype
         tokens = self.own.get_added_tokens_decoder().values()
-        # The library finds tokens that are not special even where special ones are plain.
-        self.whole = [t.content for t in tokens if added or not t.special]
+        self.whole = [t.content for t in tokens]
         if any(t.normalized for t in tokens) and self.own.normalizer is not None:
             raise ValueError("added tokens of normalized text are not supported")
         vocabulary = self.own.get_vocab(with_added_tokens=True)
@@ -119,7 +120,7 @@ class Tokenizer:
         lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             lengths[number] = len(token)
-        self.remembered = Remembered(self.ids, lengths)
+        self.remembered = Remembered(self.ids, lengths, 400_000)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
@@ -177,26 +178,36 @@ class Shard:
         return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
-def write(docs: DataFrame, path: str, definition: str, end_id: int = 0, added: bool = False) -> None:
+def encoded(docs: DataFrame, definition: str, dtype: str, end_id: int) -> DataFrame:
+    """doc_id, ids: what the library makes of each text, and end_id, in this type of whole numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(definition)  # a vocabulary file of a few MB
+    end = np.array([end_id], dtype).tobytes()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept("tokenizer", (hash(shared.value), dtype), lambda: Tokenizer(shared.value, dtype))
+        for batch in batches(rows, 2 << 20):
+            ids = own.encode([t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, ids binary")
+
+
+def write(docs: DataFrame, path: str, definition: str, end_id: int = 0) -> None:
     """Encode all texts, each with end_id after it, and write the store to path.
 
     The tokenizer is a byte-level one that starts a match at a single inner space. Ids take
-    two bytes each where the vocabulary has at most 65,536. With added, an added token in a
-    text is encoded as that token, as the library does unless told otherwise.
+    two bytes each where the vocabulary has at most 65,536.
     """
     spark = prepare(docs.sparkSession)
     import tokenizers
 
     size = tokenizers.Tokenizer.from_str(definition).get_vocab_size(with_added_tokens=True)
     width, dtype = (2, "<u2") if size <= 1 << 16 else (4, "<u4")
-    shared = spark.sparkContext.broadcast(definition)  # a vocabulary file of a few MB
-    end = np.array([end_id], dtype).tobytes()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        own = kept("tokenizer", (hash(shared.value), dtype, added), lambda: Tokenizer(shared.value, dtype, added))
         keys: list[int] = []
         payloads: list[bytes] = []
         held = 0
@@ -206,21 +217,23 @@ def write(docs: DataFrame, path: str, definition: str, end_id: int = 0, added: b
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [c.split()[0] for c in COLUMNS.split(", ")])
 
         types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in COLUMNS.split(", ")]
-        for batch in batches(rows, 2 << 20):
-            for key, ids in zip(batch.column(0).to_pylist(), own.encode([t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()])):
-                key = NULL_KEY if key is None else key
-                if held >= SHARD_BYTES and key != keys[-1]:
+        for batch in rows:
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held >= SHARD_BYTES:
                     yield flush()
                     keys, payloads, held, number = [], [], 0, number + 1
-                keys.append(key)
-                payloads.append(ids + end)
-                held += len(ids) + width
+                keys.append(NULL_KEY if key is None else key)
+                payloads.append(ids)
+                held += len(ids)
         if keys:
             yield flush()
 
+    # Written first: to find the ranges, Spark reads what it deals twice.
+    ids = materialize(encoded(docs, definition, dtype, end_id), "token-ids")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts_of(docs).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
+    dealt = ids.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
     dealt.mapInArrow(run, COLUMNS).write.option("compression", "zstd").parquet(path)
+    discard(ids)
 
 
 def shard_starts(store: DataFrame) -> DataFrame:
@@ -263,15 +276,27 @@ def read_all(spark: SparkSession, path: str) -> DataFrame:
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """doc_id, ids of the stored documents with these keys (column doc_id); no row for others.
 
-    Keys meet the shard whose range of ids holds them in a join on ranges; the shard's index
-    then tells, by fingerprint, whether it has the key.
+    Keys meet the shards whose range of ids holds them, by cells of ids: as many as there are
+    shards, so that the cells of all shards are at most twice their number. A shard's keys are
+    asked in groups of ASKED; its index tells, by fingerprint, whether it has each.
     """
     prepare(spark)
     store = spark.read.parquet(path)
+    first = F.when(F.col("first_id") > NULL_KEY, F.col("first_id"))
+    bounds = store.agg(F.min(first).alias("low"), F.max("last_id").alias("high"), F.count("*").alias("n")).first()
+    width = max(1, -(-((bounds["high"] or 0) - (bounds["low"] or 0) + 1) // max(1, bounds["n"])))
+    cell = lambda c: F.floor(F.col(c).cast("decimal(20,0)") / F.lit(width).cast("decimal(20,0)")).cast("long")
     places = store.select("part", "shard", "first_id", "last_id")
+    # The shards that begin with null ids reach from the least id on too.
+    low = bounds["low"] if bounds["low"] is not None else bounds["high"] or 0
+    ranged = places.withColumn("_from", F.greatest("first_id", F.least(F.lit(low), "last_id"))).where(F.col("last_id") > NULL_KEY)
+    cells = ranged.select("*", F.explode(F.sequence(cell("_from"), cell("last_id"))).alias("_cell"))
     wanted = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("_key")).distinct()
-    routed = wanted.join(places, F.col("_key").between(F.col("first_id"), F.col("last_id")))
-    asked = routed.groupBy("part", "shard").agg(F.collect_list("_key").alias("asked"))
+    routed = wanted.where(F.col("_key") > NULL_KEY).withColumn("_cell", cell("_key")).join(cells, "_cell").where(F.col("_key").between(F.col("first_id"), F.col("last_id"))).select("part", "shard", "_key")
+    nulls = wanted.where(F.col("_key") == NULL_KEY).join(places.withColumnRenamed("first_id", "_key"), "_key").select("part", "shard", "_key")
+    routed = materialize(routed.unionAll(nulls), "asked-keys")
+    groups = routed.groupBy("part", "shard").agg(F.ceil(F.count("*") / ASKED).alias("_k"))
+    asked = routed.join(groups, ["part", "shard"]).groupBy("part", "shard", F.pmod(F.xxhash64("_key"), F.col("_k")).alias("_group")).agg(F.collect_list("_key").alias("asked"))
     joined = store.join(asked, ["part", "shard"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,15 +79,16 @@ def test_token_store(spark, make_docs, no_docs):
     path = tokenstore.new_store(spark)
     tokenstore.write(make_docs(rows, extra=("part", "keys")), path, DEFINITION)
     own = tokenizers.Tokenizer.from_str(DEFINITION)
-    own.encode_special_tokens = True
     expected = {(str(i), zlib.crc32(np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in rows}
     got = sorted(tokenstore.read_all(spark, path).collect(), key=lambda r: r.start)
     assert {(str(r.doc_id), r.ids_crc32) for r in got} == expected
     assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda i: (i is not None, i or 0))
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
-    keys = spark.createDataFrame([(10,), (12,), (None,), (999,)], "doc_id long")
+    keys = spark.createDataFrame([(10,), (12,), (None,), (999,), (-4,), (10,)], "doc_id long")
     found = tokenstore.lookup(spark, path, keys).collect()
     assert sorted(str(r.doc_id) for r in found) == ["10", "12", "12", "None"]
+    plain = {str(i): own.encode(t or "", add_special_tokens=False).ids for i, t in ODD}
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == [*plain[str(r.doc_id)], 0] for r in found if r.doc_id != 12)
     empty = tokenstore.new_store(spark)
     tokenstore.write(no_docs, empty, DEFINITION)
     assert tokenstore.read_all(spark, empty).count() == 0
@@ -97,7 +98,7 @@ def test_token_store_has_added_tokens_as_the_library(spark, make_docs):
     end = "<|endoftext|>"
     rows = [(1, f"in{end}side a word"), (2, f"hello {end} there"), (3, f"{end}at both ends{end}"), (4, end), (5, f"a {end}{end} b"), (6, "side a word hello"), (7, f" {end} hello"), (8, f"side a {end[:-1]}")]
     path = tokenstore.new_store(spark)
-    tokenstore.write(make_docs(rows), path, DEFINITION, added=True)
+    tokenstore.write(make_docs(rows), path, DEFINITION)
     own = tokenizers.Tokenizer.from_str(DEFINITION)
     ids = {i: [*own.encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
     assert ids[2] == [31373, 220, 50256, 612, 0]
@@ -112,3 +113,25 @@ def test_query_has_added_tokens_as_the_library(spark, make_docs, tmp_path):
     make_docs([(1, "hello <|endoftext|> there")]).write.parquet(str(tmp_path / "documents.parquet"))
     row = queries.op10_token_store(spark, str(tmp_path)).collect()[0]
     assert (row.n_tokens, row.ids_crc32) == (5, zlib.crc32(np.array([31373, 220, 50256, 612, 0], "<u4").tobytes()))
+
+
+def test_full_shards_and_one_hot_id(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(tokenstore, "SHARD_BYTES", 300)
+    monkeypatch.setattr(tokenstore, "ASKED", 3)
+    ids = [7] * 60 + [None] * 40 + [-(1 << 62), 1 << 62] + list(range(100, 140))
+    rows = [(i, f"text number {k} " + "word " * (k % 9)) for k, i in enumerate(ids)]
+    path = tokenstore.new_store(spark)
+    tokenstore.write(make_docs(rows), path, DEFINITION)
+    assert spark.read.parquet(path).where("first_id = 7 AND last_id = 7").count() > 1
+    assert spark.read.parquet(path).count() > 6
+    got = sorted(tokenstore.read_all(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    asked = spark.createDataFrame([(i,) for i in [7, None, 1 << 62, -(1 << 62), 99, 140, *range(100, 140)]], "doc_id long")
+    found = [r.doc_id for r in tokenstore.lookup(spark, path, asked).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, ids))
+
+
+def test_round_trip_in_one_pass(odd_docs):
+    both = [sorted((str(r.doc_id), bytes(r.ids), bytes(r.text)) for r in found.collect()) for found in (bpe.decode(bpe.encode(odd_docs, VOCABULARY, P.PATTERN), VOCABULARY, P.PATTERN), bpe.round_trip(odd_docs, VOCABULARY, P.PATTERN))]
+    assert both[0] == both[1] and len(both[0]) == len(ODD)
