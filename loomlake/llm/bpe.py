@@ -8,7 +8,9 @@ neighbour before it. Short matches go through the same tree laid out over many m
 once; long ones through a tree of their own, in n log n.
 
 Cases: null text is the empty text; an empty text has no ids; repeated rows give repeated
-results; a null doc_id stays null.
+results; a null doc_id stays null; an empty table gives no rows; other columns, whatever their
+names, are not read; a long text is one row, held with its ids and at most 20,000 distinct
+matches in the work.
 """
 
 from __future__ import annotations
@@ -217,15 +219,26 @@ def codec(data: bytes, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers). The vocabulary is a fixed file of a few MB."""
+    return _coded(docs, vocabulary, pattern, False)
+
+
+def round_trip(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
+    """What decode() makes of encode(): doc_id, ids, text (the bytes that the ids decode to), in one pass of one worker a task."""
+    return _coded(docs, vocabulary, pattern, True)
+
+
+def _coded(docs: DataFrame, vocabulary: bytes, pattern: str, back: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    names = ["doc_id", "ids", "text"] if back else ["doc_id", "ids"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
-        for batch in batches(rows):
-            texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.encode(texts), pa.binary())], ["doc_id", "ids"])
+        for batch in batches(rows, 1 << 20):
+            ids = own.encode([t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()])
+            more = [pa.array(map(own.decode, ids), pa.binary())] if back else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), *more], names)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, ids binary")
+    return texts_of(docs).mapInArrow(run, "doc_id long, ids binary, text binary" if back else "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
@@ -239,4 +252,3 @@ def decode(encoded: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "text"])
 
     return encoded.mapInArrow(run, "doc_id long, ids binary, text binary")
-

@@ -18,8 +18,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
         vocabulary = file.read()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, vocabulary, public_tokenizers.PATTERN)
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
