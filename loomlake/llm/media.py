@@ -13,8 +13,10 @@ otherwise), inverse-transforms them in numpy, upsamples the chroma and gives the
 full-resolution RGB tensor.
 
 Cases: null text has no bytes and is stored as padding alone; equal texts give equal files
-and features; a file that is no progressive three-component JPEG without restart intervals
-raises ValueError.
+and features; a null id stays null; rows with equal ids stay apart; an empty table gives no
+rows; other columns, whatever their names, are not read; a long text is one row of one task,
+which holds some sixty times its bytes in arrays; a file that is no progressive
+three-component JPEG without restart intervals raises ValueError.
 """
 
 from __future__ import annotations
@@ -382,6 +384,12 @@ def store(docs: DataFrame) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, media binary")
 
 
+def write(docs: DataFrame, path: str) -> DataFrame:
+    """The files of store() written as a table at path, and read back from there."""
+    store(docs).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema("doc_id long, media binary").parquet(path)
+
+
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, tensor binary"
 
 
@@ -404,3 +412,9 @@ def read(media: DataFrame, tensors: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     return media.mapInArrow(run, READ)
+
+
+def write_tensors(media: DataFrame, path: str) -> DataFrame:
+    """doc_id, height, width, tensor of stored files written as a table at path, and read back from there."""
+    read(media).select("doc_id", "height", "width", "tensor").write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.schema("doc_id long, height int, width int, tensor binary").parquet(path)

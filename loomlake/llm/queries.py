@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.session import table
+from loomlake.session import scratch, table
 
 from . import bpe, decontaminate, langid, lm, media, ngram_join, sharding, suffix_dedup, tokenstore, toxicity
 from .common import held_out
@@ -46,8 +46,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.read(media.store(table(spark, sf_dir, "documents")), tensors=False)
-    return found.drop("tensor")
+    stored = media.write(table(spark, sf_dir, "documents"), scratch(spark, "media"))
+    return media.read(stored, tensors=False).drop("tensor")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,12 @@ def test_table(odd_docs, no_docs):
     assert media.read(media.store(no_docs), tensors=False).count() == 0
     with pytest.raises(ValueError):
         media.Picture(b"no picture")
+
+
+def test_written_tables(spark, make_docs, tmp_path):
+    rows = [(1, "kept as a picture"), (None, None), (1, "ü" * 700)]
+    stored = media.write(make_docs(rows, extra=("media", "tensor")), str(tmp_path / "media"))
+    found = media.write_tensors(stored, str(tmp_path / "tensors")).collect()
+    assert sorted(str(r.doc_id) for r in found) == ["1", "1", "None"]
+    wanted = {(media.Picture(media.write_jpeg(media.padded((t or "").encode()), b"")).rgb()).tobytes() for _, t in rows}
+    assert {bytes(r.tensor) for r in found} == wanted and all(len(r.tensor) == 3 * r.height * r.width for r in found)
