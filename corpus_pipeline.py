@@ -15,13 +15,19 @@ from loomlake.session import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic by a model of the labelled ones among them."""
+    """Documents not predicted toxic by a model of the labelled ones among them.
+
+    Null and empty texts and null ids stay; without labels all do; columns stay as they are.
+    """
     model = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     return toxicity.accepted(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by 5-word shingles at 0.75."""
+    """The document with the smallest id of each group linked by 5-word shingles at 0.75.
+
+    Texts without words and rows with a null id stay; of rows with one id, one stays.
+    """
     return ngram_join.representatives(docs)
 
 
@@ -35,15 +41,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; null and empty texts contain none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and digests of the ids and of the bytes that they decode to."""
+    """doc_id, n_tokens, ids, and digests of the ids and of the bytes that they decode to; null text is empty."""
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
         vocabulary = file.read()
-    decoded = bpe.decode(bpe.encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary, public_tokenizers.PATTERN)
+    decoded = bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
