@@ -2,23 +2,28 @@
 
 Word counts of all training texts give the vocabulary. The most frequent words, as many as
 make up the share COVERED of the training texts and HEAD at least, and the end of text form
-classes of equal size by rank; all other words form one more class, within
-which a word has its share of the training counts (half a count more each, and half for any
-unknown word), so that the model is a proper distribution over known words and one unknown.
-A gated recurrent unit reads the text; one softmax gives the class of the next word, another
-the word within its class.
+classes of equal size by rank, about as many as a class has words; all other words form one
+more class, within which a word has its share of the training counts (half a count more each,
+and half for any unknown word), so that the model is a proper distribution over known words
+and one unknown. A gated recurrent unit reads the text; one softmax gives the class of the
+next word, another the word within its class. The bounded function of unit and gates is
+x / (1 + |x|), which numpy computes many times faster than tanh.
 
 Training is by truncated backpropagation in numpy. A start is fitted on about START_DOCS
-texts (those with the lowest hashes of the id); from there every partition of the training texts trains a
-copy on all its texts, and the copies are averaged in two rounds of grouped sums, weighted by
-tokens. Texts run in lanes: a lane takes text after text, the state is carried across
-windows and set to zero where a text begins, so a text of any length is scored whole.
+texts (those with the lowest hashes of the id). From there copies, one for each COPY tokens
+of the training texts, are trained on all of them, each on the texts that a hash deals to
+it, and averaged in two rounds of grouped sums, weighted by tokens; so the result does not
+depend on how the input is stored. Texts run in lanes: a lane takes text after text, the state
+is carried across windows and set to zero where a text begins, so a text of any length is
+scored whole.
 
 Counts of the KNOWN most frequent words are broadcast; the other words of a text meet their
 counts in a join.
 
 Cases: null text is empty and has its end alone; with no training text every word is
-unknown and the base score is 0; repeated rows are scored alike.
+unknown and the base score is 0; repeated rows are scored alike; a null id is trained on and
+scored like any other; an empty table gives no rows; other columns, whatever their names, are
+not read; a long text is one lane, which runs to its end alone.
 """
 
 from __future__ import annotations
@@ -41,15 +46,17 @@ from .common import batches, held_out, most_frequent, prepare, share_of, texts_o
 #: Head words at least; more, until they are this share of the running words.
 HEAD = 1023
 COVERED = 0.6
-CLASS_SIZE = 32
 KNOWN = 250_000
 START_DOCS = 1_500
-STATE = 12
+STATE = 24
 LANES = 512
 WINDOW = 16
 RATE = 0.01
-#: Tokens that are packed into lanes at once.
-PACKED = 1_500_000
+#: Training tokens of one copy, and tokens that are packed into lanes at once.
+COPY = 3_000_000
+PACKED = 4_000_000
+#: Logits beyond which their largest is taken off before they are exponentiated.
+LARGE = 60.0
 SLICE = 1024
 END = b""
 FLOAT = np.float32
@@ -71,10 +78,13 @@ class Vocabulary:
             self.head = min(max(HEAD + 1, covering), len(self.words))
         self.rest = self.head  # the id of any word outside the head
         self.begin = self.head + 1
-        self.n_classes = -(-self.head // CLASS_SIZE) + 1
-        mass = np.zeros(self.n_classes * CLASS_SIZE)
+        self.size = max(8, -(-int(np.sqrt(self.head)) // 4) * 4)  # words of a class
+        self.n_classes = -(-self.head // self.size) + 1
+        self.class_of = np.minimum(np.arange(self.head + 1) // self.size, self.n_classes - 1).astype(np.uint16)
+        self.class_of[self.rest] = self.n_classes - 1
+        mass = np.zeros(self.n_classes * self.size)
         mass[: self.head] = self.counts[: self.head] + 0.5
-        inside = mass.reshape(-1, CLASS_SIZE)
+        inside = mass.reshape(-1, self.size)
         self.rest_mass = float(self.total - self.counts[: self.head].sum() + 0.5 * (self.distinct - (self.counts[: self.head] > 0).sum() + 1))
         sums = inside.sum(1)
         sums[-1] = self.rest_mass
@@ -84,12 +94,28 @@ class Vocabulary:
 
 
 def shapes(v: Vocabulary) -> list[tuple[int, ...]]:
-    groups = v.n_classes - 1
-    return [(v.head + 2, 3 * STATE), (STATE, 3 * STATE), (STATE, v.n_classes), (v.n_classes,), (groups, STATE, CLASS_SIZE), (groups, CLASS_SIZE)]
+    return [(v.head + 2, 3 * STATE), (STATE, 3 * STATE), (STATE + 1, v.n_classes), (v.n_classes - 1, STATE + 1, v.size)]
+
+
+def exponentiated(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """exp of the logits, in place, and their sums; what is taken off a row is taken off its target too."""
+    if logits.size and logits.max() > LARGE:
+        most = logits.max(1)
+        logits -= most[:, None]
+        target -= most
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], FLOAT)
+
+
+def squash(x: np.ndarray, room: np.ndarray) -> None:
+    """x over one more than its size, in place: the unit's bounded function, of slope (1 - size of the value) squared."""
+    np.abs(x, out=room)
+    room += FLOAT(1)
+    x /= room
 
 
 class Network:
-    """Parameters as one vector with views: input, recurrent, class weights and bias, word weights and bias."""
+    """Parameters as one vector with views: input, recurrent, class and word weights; the last row of these two is their bias."""
 
     def __init__(self, v: Vocabulary, flat: np.ndarray | None = None):
         self.v, at, self.parts = v, 0, []
@@ -103,106 +129,126 @@ class Network:
             for part in self.parts[:2]:
                 part[:] = rng.normal(0, 0.2, part.shape)
             self.parts[0][:, STATE : 2 * STATE] -= 1  # keep most of the state at first
-            self.parts[3][:] = v.class_bias
-            self.parts[5][:] = v.word_bias
+            self.parts[2][-1] = v.class_bias
+            self.parts[3][:, -1] = v.word_bias
 
     def run(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray):
-        """States of a window (steps by lanes), what the way back needs, and the last state."""
-        w_in, w_rec = self.parts[:2]
-        gates = w_in[x]
+        """States of a window (steps by lanes, and a one for the bias), what the way back needs, and the last state.
+
+        Inside, a row is a unit and a column a lane, so that gates are whole blocks of memory.
+        """
+        w_in, w_rec = self.parts[0], self.parts[1].T
         steps, lanes = x.shape
-        states, trace = np.empty((steps, lanes, STATE), FLOAT), []
+        gates = np.ascontiguousarray(w_in[x].transpose(0, 2, 1))
+        states, trace = np.ones((steps, lanes, STATE + 1), FLOAT), []
+        whole = keep.all(1)
+        size = np.empty((2 * STATE, lanes), FLOAT)
         for t in range(steps):
-            h = h * keep[t][:, None]
-            rec = h @ w_rec
-            both = gates[t, :, : 2 * STATE] + rec[:, : 2 * STATE]
+            if not whole[t]:
+                h = h * keep[t]
+            rec = w_rec @ h
+            both = gates[t, : 2 * STATE]
+            both += rec[: 2 * STATE]
+            squash(both, size)
             both *= FLOAT(0.5)
-            np.tanh(both, out=both)
-            both += FLOAT(1)
-            both *= FLOAT(0.5)
-            reset, update = both[:, :STATE], both[:, STATE:]
-            new = np.tanh(gates[t, :, 2 * STATE :] + reset * rec[:, 2 * STATE :])
-            trace.append((h, reset, update, new, rec[:, 2 * STATE :]))
-            h = h + update * (new - h)
-            states[t] = h
+            both += FLOAT(0.5)
+            new, rec = gates[t, 2 * STATE :], rec[2 * STATE :]
+            new += both[:STATE] * rec
+            squash(new, size[:STATE])
+            trace.append((h, both[:STATE], both[STATE:], new, rec))
+            step = new - h
+            step *= both[STATE:]
+            step += h
+            h = step
+            states[t, :, :STATE] = h.T
         return states, trace, h
 
     def targets(self, h: np.ndarray, y: np.ndarray, back: bool):
         """Log-probability of each target class and word; with back, gradients of their sum's negative too."""
-        _, _, w_class, b_class, w_word, b_word = self.parts
-        n = len(y)
-        logits = h @ w_class + b_class
-        logits -= logits.max(1, keepdims=True)
-        rows = np.arange(n)
-        own = np.minimum(y // CLASS_SIZE, self.v.n_classes - 1)
-        own[y == self.v.rest] = self.v.n_classes - 1
-        out = logits[rows, own]
-        p = np.exp(logits, out=logits)
-        total = p.sum(1)
+        _, _, w_class, w_word = self.parts
+        own, rows = self.v.class_of[y], np.arange(len(y))
+        p = h @ w_class
+        out = p[rows, own]
+        total = exponentiated(p, out)
         out -= np.log(total)
-        grads = None
-        if back:
-            p /= total[:, None]
-            p[rows, own] -= 1
-            dh = p @ w_class.T
-            grads = [h.T @ p, p.sum(0), np.zeros_like(w_word), np.zeros_like(b_word)]
-        order = np.argsort(own.astype(np.uint16), kind="stable")  # KNOWN words make fewer classes
+        order = np.argsort(own, kind="stable")
         cuts = np.searchsorted(own[order], np.arange(self.v.n_classes)).tolist()
         order = order[: cuts[-1]]
         spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
-        hs, group = h[order], own[order]
-        q = b_word[group]
+        hs = h[order]
+        q = np.empty((len(order), self.v.size), FLOAT)
         for k, a, b in spans:
-            q[a:b] += hs[a:b] @ w_word[k]
-        q -= q.max(1, keepdims=True)
-        at, word = np.arange(len(order)), y[order] - group * CLASS_SIZE
+            np.matmul(hs[a:b], w_word[k], out=q[a:b])
+        at, word = np.arange(len(order)), y[order] - own[order].astype(np.int32) * self.v.size
         inner = q[at, word]
-        np.exp(q, out=q)
-        sums = q.sum(1)
+        sums = exponentiated(q, inner)
         out[order] += inner - np.log(sums)
-        if back and spans:
-            q /= sums[:, None]
+        if not back:
+            return out, None
+        p *= (FLOAT(1) / total)[:, None]
+        p[rows, own] -= 1
+        dh, grads = p @ w_class[:-1].T, [h.T @ p, np.zeros_like(w_word)]
+        if spans:
+            q *= (FLOAT(1) / sums)[:, None]
             q[at, word] -= 1
-            more = np.empty_like(hs)
+            more = np.empty((len(order), STATE), FLOAT)
             for k, a, b in spans:
-                np.matmul(hs[a:b].T, q[a:b], out=grads[2][k])
-                np.matmul(q[a:b], w_word[k].T, out=more[a:b])
-            grads[3][[k for k, _, _ in spans]] = np.add.reduceat(q, [a for _, a, _ in spans], axis=0)
+                np.matmul(hs[a:b].T, q[a:b], out=grads[1][k])
+                np.matmul(q[a:b], w_word[k, :-1].T, out=more[a:b])
             dh[order] += more
-        return out, (dh, grads) if back else None
+        return out, (dh, grads)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.ndarray):
         """Gradient vector of a window's mean loss, and the state to carry on."""
         states, trace, last = self.run(x, keep, h)
         steps, lanes = x.shape
         live = np.flatnonzero(y.ravel() >= 0)
-        flat_states = states.reshape(-1, STATE)
-        _, (dh_live, (g_class, g_bias, g_word, g_word_bias)) = self.targets(flat_states[live], y.ravel()[live], True)
+        _, (dh_live, (g_class, g_word)) = self.targets(states.reshape(-1, STATE + 1)[live], y.ravel()[live], True)
         d_out = np.zeros((steps * lanes, STATE), FLOAT)
         d_out[live] = dh_live
-        d_out = d_out.reshape(steps, lanes, STATE)
+        d_out = np.ascontiguousarray(d_out.reshape(steps, lanes, STATE).transpose(0, 2, 1))
         w_rec = self.parts[1]
-        d_gates = np.empty((steps, lanes, 3 * STATE), FLOAT)
+        d_gates = np.empty((steps, 3 * STATE, lanes), FLOAT)
         g_rec = np.zeros_like(w_rec)
-        dh = np.zeros((lanes, STATE), FLOAT)
-        d_rec = np.empty((lanes, 3 * STATE), FLOAT)
+        dh, d_rec, room = np.zeros((STATE, lanes), FLOAT), np.empty((3 * STATE, lanes), FLOAT), np.empty((STATE, lanes), FLOAT)
+        whole = keep.all(1)
         for t in range(steps - 1, -1, -1):
             before, reset, update, new, rec = trace[t]
-            dh = dh + d_out[t]
-            d_new = dh * update * (1 - new * new)
-            d_update = dh * (new - before) * update * (1 - update)
-            d_reset = d_new * rec * reset * (1 - reset)
-            d_gates[t, :, :STATE], d_gates[t, :, STATE : 2 * STATE], d_gates[t, :, 2 * STATE :] = d_reset, d_update, d_new
-            d_rec[:, : 2 * STATE] = d_gates[t, :, : 2 * STATE]
-            d_rec[:, 2 * STATE :] = d_new * reset
-            g_rec += before.T @ d_rec
-            dh = (dh * (1 - update) + d_rec @ w_rec.T) * keep[t][:, None]
+            d_reset, d_update, d_new = (d_gates[t, k * STATE : (k + 1) * STATE] for k in range(3))
+            dh += d_out[t]
+            # Gates are half of one plus the squashed sum: their slope is twice the square of the nearer end.
+            np.subtract(FLOAT(1), update, out=room)
+            np.minimum(room, update, out=room)
+            np.subtract(new, before, out=d_update)
+            d_update *= dh
+            d_update *= room
+            d_update *= room
+            d_update *= FLOAT(2)
+            carried = dh * update
+            np.abs(new, out=room)
+            np.subtract(FLOAT(1), room, out=room)
+            np.multiply(carried, room, out=d_new)
+            d_new *= room
+            np.multiply(d_new, reset, out=d_rec[2 * STATE :])
+            np.subtract(FLOAT(1), reset, out=room)
+            np.minimum(room, reset, out=room)
+            np.multiply(d_new, rec, out=d_reset)
+            d_reset *= room
+            d_reset *= room
+            d_reset *= FLOAT(2)
+            d_rec[: 2 * STATE] = d_gates[t, : 2 * STATE]
+            g_rec += before @ d_rec.T
+            dh -= carried
+            dh += w_rec @ d_rec
+            if not whole[t]:
+                dh *= keep[t]
+        d_gates = d_gates.transpose(0, 2, 1)
         g_in = np.zeros_like(self.parts[0])
         ids = x.ravel()
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
         g_in[ids[order][first]] = np.add.reduceat(d_gates.reshape(-1, 3 * STATE)[order], first, axis=0)
-        grad = np.concatenate([g.ravel() for g in (g_in, g_rec, g_class, g_bias, g_word, g_word_bias)])
+        grad = np.concatenate([g.ravel() for g in (g_in, g_rec, g_class, g_word)])
         return grad / max(1, len(live)), last
 
 
@@ -236,8 +282,8 @@ class Trainer:
         h = None
         for x, y, keep, _ in windows(texts, self.network.v, WINDOW):
             if h is None:
-                h, full = np.zeros((x.shape[1], STATE), FLOAT), x.shape[1]
-            grad, h = self.network.gradient(x, y, keep, h[: x.shape[1]])
+                h, full = np.zeros((STATE, x.shape[1]), FLOAT), x.shape[1]
+            grad, h = self.network.gradient(x, y, keep, h[:, : x.shape[1]])
             self.step(grad, x.shape[1] / full)
         self.tokens += sum(map(len, texts))
 
@@ -279,10 +325,10 @@ def scored(texts: list[np.ndarray], network: Network) -> np.ndarray:
     """Natural log-probability of each text of head ids; words outside the head count as their class."""
     h, out = None, np.zeros(len(texts))
     for x, y, keep, owner in windows(texts, network.v, WINDOW):
-        h = np.zeros((x.shape[1], STATE), FLOAT) if h is None else h[: x.shape[1]]
+        h = np.zeros((STATE, x.shape[1]), FLOAT) if h is None else h[:, : x.shape[1]]
         states, _, h = network.run(x, keep, h)
         live = np.flatnonzero(y.ravel() >= 0)
-        found, _ = network.targets(states.reshape(-1, STATE)[live], y.ravel()[live], False)
+        found, _ = network.targets(states.reshape(-1, STATE + 1)[live], y.ravel()[live], False)
         out += np.bincount(owner.ravel()[live], found, len(texts))
     return out
 
@@ -323,46 +369,44 @@ def _ids(text: bytes, get, rest: int) -> np.ndarray:
     return np.fromiter(map(get, words, repeat(rest)), np.int64, len(words))
 
 
-def trained(training: DataFrame, v: Vocabulary, start: np.ndarray | None, rate: float, rounds: int = 1) -> np.ndarray | None:
-    """Parameters averaged over the copies that the partitions of these texts train."""
+def trained(training: DataFrame, v: Vocabulary, start: np.ndarray, rate: float, copies: int, rounds: int = 1) -> np.ndarray:
+    """Parameters averaged over copies, each trained on the texts that a hash deals to it."""
     spark = training.sparkSession
     small = Vocabulary(v.words[: v.head], v.counts[: v.head], v.total, v.distinct, v.head)
     shared = spark.sparkContext.broadcast((small, start))
+    copy = F.pmod(F.xxhash64("doc_id", "text"), F.lit(copies)).cast("int")
+    dealt = texts_of(training).withColumn("copy", copy)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value[0]
+        get = {w: i for i, w in enumerate(own.words[: own.head])}.get
+        for batch in batches(rows):
+            ids = [_ids(text, get, own.rest).astype(np.uint32).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(ids, pa.binary())], ["copy", "doc_id", "ids"])
 
+    def learn(group: pa.Table) -> pa.Table:
         own, flat = shared.value
+        rows = sorted(zip(group.column("doc_id").to_pylist(), group.column("ids").to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        texts = [np.frombuffer(ids, np.uint32).astype(np.int64) for _, ids in rows]
         trainer = Trainer(Network(own, flat), rate)
-        get = {w: i for i, w in enumerate(own.words[: own.head])}.get
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches(rows):
-            for text in batch.column(1).to_pylist():
-                held.append(_ids(text, get, own.rest))
-                size += len(held[-1])
-            if size > PACKED:
-                trainer.learn(held)
-                held, size = [], 0
-        if held:
-            for _ in range(rounds):
-                trainer.learn(held)
-        if trainer.tokens:
-            flat = trainer.network.flat
-            values = [flat[a : a + SLICE].tobytes() for a in range(0, len(flat), SLICE)]
-            n = len(values)
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId() % 256] * n, pa.int32()), pa.array([float(trainer.tokens)] * n), pa.array(values, pa.binary())], ["slice", "part", "weight", "value"])
+        for _ in range(rounds):
+            trainer.learn(texts)
+        flat = trainer.network.flat
+        values = [flat[a : a + SLICE].tobytes() for a in range(0, len(flat), SLICE)]
+        n = len(values)
+        return pa.table({"slice": pa.array(range(n), pa.int32()), "copy": pa.array([group.column("copy")[0].as_py()] * n, pa.int32()), "weight": pa.array([float(trainer.tokens)] * n), "value": pa.array(values, pa.binary())})
 
     def mean(group: pa.Table) -> pa.Table:
+        group = group.sort_by("copy")
         weight = group.column("weight").to_numpy()
         rows = np.stack([np.frombuffer(v_, FLOAT) for v_ in group.column("value").to_pylist()])
         value = (weight @ rows.astype(np.float64) / weight.sum()).astype(FLOAT)
-        return pa.table({"slice": group.column("slice")[:1], "part": group.column("part")[:1], "weight": [float(weight.sum())], "value": pa.array([value.tobytes()], pa.binary())})
+        return pa.table({"slice": group.column("slice")[:1], "copy": group.column("copy")[:1], "weight": [float(weight.sum())], "value": pa.array([value.tobytes()], pa.binary())})
 
-    schema = "slice int, part int, weight double, value binary"
-    copies = texts_of(training).mapInArrow(run, schema)
-    averaged = copies.groupBy("slice", "part").applyInArrow(mean, schema).groupBy("slice").applyInArrow(mean, schema)
-    found = averaged.orderBy("slice").collect()
+    schema = "slice int, copy int, weight double, value binary"
+    learned = dealt.mapInArrow(encode, "copy int, doc_id long, ids binary").groupBy("copy").applyInArrow(learn, schema)
+    some = learned.groupBy("slice", F.pmod("copy", F.lit(256)).alias("_some")).applyInArrow(mean, schema)
+    found = some.groupBy("slice").applyInArrow(mean, schema).orderBy("slice").collect()
     return np.concatenate([np.frombuffer(bytes(r["value"]), FLOAT) for r in found]) if found else start
 
 
@@ -371,9 +415,8 @@ def fit(training: DataFrame) -> tuple[DataFrame, Vocabulary, np.ndarray]:
     prepare(training.sparkSession)
     counts = count_words(training)
     v = vocabulary(counts)
-    first = share_of(training, START_DOCS, "doc_id").select("doc_id", "text").repartition(1)
-    flat = trained(first, v, Network(v).flat, RATE, 2)
-    return counts, v, trained(training, v, flat, RATE / 4)
+    flat = trained(share_of(training, START_DOCS, "doc_id").select("doc_id", "text"), v, Network(v).flat, RATE, 1, 2)
+    return counts, v, trained(training, v, flat, RATE / 4, max(1, round(v.total / COPY)))
 
 
 def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, flat: np.ndarray) -> DataFrame:

@@ -20,7 +20,7 @@ def small_vocabulary():
 def loss(network, x, y, keep, h):
     states, _, _ = network.run(x, keep, h)
     live = np.flatnonzero(y.ravel() >= 0)
-    return -network.targets(states.reshape(-1, lm.STATE)[live], y.ravel()[live], False)[0].mean()
+    return -network.targets(states.reshape(-1, lm.STATE + 1)[live], y.ravel()[live], False)[0].mean()
 
 
 def test_gradient_against_differences(monkeypatch):
@@ -31,7 +31,7 @@ def test_gradient_against_differences(monkeypatch):
     network.flat += rng.normal(0, 0.2, len(network.flat))
     x, y = rng.integers(0, v.head + 2, (5, 4)), rng.integers(0, v.head + 1, (5, 4))
     y[3:, 2] = -1
-    keep, h = np.ones((5, 4)), rng.normal(0, 0.3, (4, lm.STATE))
+    keep, h = np.ones((5, 4)), rng.normal(0, 0.3, (lm.STATE, 4))
     keep[2, 1] = 0
     grad, last = network.gradient(x, y, keep, h)
     assert last.shape == h.shape
@@ -50,7 +50,7 @@ def test_distribution_sums_to_one(monkeypatch):
     v, rng = small_vocabulary(), np.random.default_rng(1)
     network = lm.Network(v)
     network.flat += rng.normal(0, 0.1, len(network.flat)).astype(np.float32)
-    h = np.repeat(rng.normal(0, 0.5, (1, lm.STATE)), v.head + 1, 0).astype(np.float32)
+    h = np.repeat(np.r_[rng.normal(0, 0.5, lm.STATE), 1][None], v.head + 1, 0).astype(np.float32)
     out, _ = network.targets(h, np.arange(v.head + 1), False)
     assert np.exp(out).sum() == pytest.approx(1, abs=1e-3)
     known = (v.counts[v.head :] + 0.5).sum() + (v.total - v.counts.sum()) + 0.5 * (v.distinct - len(v.words)) + 0.5
@@ -68,6 +68,41 @@ def test_score_does_not_depend_on_lanes(monkeypatch):
     assert np.allclose([lm.scored([t], network)[0] for t in texts], together, rtol=1e-4)
 
 
+@pytest.mark.parametrize("large", [60.0, 0.0])
+def test_score_against_one_token_at_a_time(monkeypatch, large):
+    """The model written out for one text, with loops and no windows, lanes or shared sums."""
+    monkeypatch.setattr(lm, "HEAD", 70)
+    monkeypatch.setattr(lm, "LARGE", large)
+    v, rng = small_vocabulary(), np.random.default_rng(7)
+    network = lm.Network(v)
+    network.flat += rng.normal(0, 0.3, len(network.flat)).astype(np.float32)
+    w_in, w_rec, w_class, w_word = (p.astype(np.float64) for p in network.parts)
+    n, squash = lm.STATE, lambda z: z / (1 + np.abs(z))
+    texts = [rng.integers(0, v.head + 1, k) for k in (1, 3, 40, 150)]
+    for text, got in zip(texts, lm.scored(texts, network)):
+        h, before, total = np.zeros(n), v.begin, 0.0
+        for token in text.tolist():
+            g, r = w_in[before], h @ w_rec
+            reset, update = (0.5 + 0.5 * squash(g[k : k + n] + r[k : k + n]) for k in (0, n))
+            h = h + update * (squash(g[2 * n :] + reset * r[2 * n :]) - h)
+            by_class = h @ w_class[:-1] + w_class[-1]
+            k = v.n_classes - 1 if token == v.rest else token // v.size
+            total += by_class[k] - math.log(np.exp(by_class).sum())
+            if token != v.rest:
+                by_word = h @ w_word[k][:-1] + w_word[k][-1]
+                total += by_word[token - k * v.size] - math.log(np.exp(by_word).sum())
+            before = token
+        assert got == pytest.approx(total, rel=1e-4)
+
+
+def test_fit_does_not_depend_on_the_layout(make_docs, monkeypatch):
+    monkeypatch.setattr(lm, "COPY", 4000)
+    rows = corpus()
+    docs = make_docs(rows)
+    fitted = [lm.fit(d)[2] for d in (docs, docs.repartition(7, "text").sortWithinPartitions("text"))]
+    assert np.array_equal(*fitted) and np.abs(fitted[0]).max() > 0
+
+
 def corpus():
     rng = random.Random(9)
     rows = []
@@ -108,7 +143,7 @@ def test_nothing_to_learn_from(make_docs, no_docs):
 
 
 def test_head_follows_the_vocabulary():
-    assert (lm.STATE, lm.CLASS_SIZE) == (12, 32)
+    assert lm.STATE >= 12
     for n in (2000, 20000):
         counts = np.array([5, *(1_000_000 // (k + 100) for k in range(n))])
         v = lm.Vocabulary([b"", *(b"w%d" % k for k in range(n))], counts, int(counts.sum()), n + 1)
