@@ -81,6 +81,10 @@ def brute_kernel(s, t):
 def test_kernel_against_enumeration():
     strings = [b"idiot", b"i.d.i.o.t", b"idiiot", b"banana", b"aaaa", b"the"]
     found = toxicity.Subsequences.of(strings)
+    long = b"anyone can see idiots in a line".replace(b" ", b"")
+    assert len(long) > toxicity.LISTED
+    assert np.allclose(found.of_others([long])[0], [brute_kernel(long, t) for t in strings], atol=1e-5)
+    assert np.allclose(toxicity.weigh([long, b"no"], found.columns[found.place, 0]), [brute_kernel(long, b"idiot"), 0], atol=1e-5)
     got = found.of_others(strings)
     assert np.allclose(got, found.kernel(), atol=1e-5)
     assert np.allclose(toxicity.weigh(strings, found.columns[found.place, 1]), got[:, 1], atol=1e-5)
@@ -109,6 +113,39 @@ def test_toxicity_learns_gapped_insults(spark, make_docs, no_docs):
     assert toxicity.score(no_docs, model).count() == 0
     assert toxicity.train(make_docs(rows), marks.limit(0)) is None
     assert {r.score for r in toxicity.score(asked, None).collect()} == {0.0}
+    # The decision function is a combination of kernels to the landmarks, found again here from its values there.
+    kernels = np.array([[brute_kernel(a, b) for b in model.landmarks] for a in model.landmarks])
+    share = np.linalg.lstsq(kernels, toxicity.weigh(model.landmarks, model.weights).astype(float), rcond=None)[0]
+    for string in (b"nitwit", b"n.i.t.w.i.t", b"garden", b"blockhead", b"whatever", b"x" * 20):
+        brute = sum(c * brute_kernel(string, m) for c, m in zip(share, model.landmarks))
+        assert toxicity.weigh([string], model.weights)[0] == pytest.approx(brute, abs=0.02)
+
+
+def test_sentences_of_one_document():
+    text = b"One line here\nTwo. Three! n i t w i t" + b" word" * 70
+    found = toxicity.sentences(text)
+    assert {b"one", b"line", b"here"} in found and {b"two"} in found and any(b"nitwit" in x for x in found)
+    assert sum(b"word" in x for x in found) == 2
+
+
+def test_toxicity_from_sentences_with_repeats(spark, make_docs, monkeypatch):
+    """Only one sentence of a toxic document is toxic, a third of the rows have one id, and few documents are sampled."""
+    rng = random.Random(4)
+    for name in ("TOXIC_SENTENCES", "CLEAN_SENTENCES"):
+        monkeypatch.setattr(toxicity, name, 400)
+    clean = ["garden", "window", "river", "bread", "table", "music", "paper", "stone", "light", "water", "morning", "letter"]
+    rows, labels = [], []
+    for i in range(400):
+        parts = [" ".join(rng.choices(clean, k=8)) for _ in range(6)]
+        if i % 3 == 0:
+            parts[rng.randrange(6)] = f"you {rng.choice(['numbskull', 'halfwit', 'numb-skull'])} again"
+        rows.append((i, ". ".join(parts) + "."))
+        labels.append((i, int(i % 3 == 0)))
+    rows += [(1, rows[1][1])] * 200
+    model = toxicity.train(make_docs(rows, extra=("weight", "sentences")), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = toxicity.score(make_docs(rows), model).collect()
+    assert len(got) == len(rows) and sum(r.predicted == int(r.doc_id % 3 == 0) for r in got) >= 0.98 * len(rows)
+    assert len({r.score for r in got if r.doc_id == 1}) == 1
 
 
 def test_long_token_is_read_whole():
