@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.session import materialize
+from loomlake.session import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,10 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     current = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
     while True:
-        current = materialize(_small_star(_large_star(current)), "edges")
-        wrong = current.where("b > a").select("a").unionAll(current.groupBy("a").count().where("count > 1").select("a"))
-        wrong = wrong.unionAll(current.join(current.select(F.col("a").alias("b")), "b", "left_semi").select("a"))
+        previous, current = current, materialize(_small_star(_large_star(current)), "edges")
+        discard(previous)
+        ends = current.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionAll(current.select("b", F.lit(0), F.lit(1)))
+        wrong = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 OR (out > 0 AND in > 0)")
         if not wrong.limit(1).count():
             break
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionAll(stars.select(F.col("component").alias("node"), "component")).distinct()
+    return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -461,27 +461,27 @@ def _routed(docs: DataFrame, width: int, id_col: str):
 def join(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
     rows, classes, pairs, members, bitmaps, search = _routed(docs, width, id_col)
-    links = search(pairs)
+    labels = materialize(classes.withColumn("label", F.col("class_id")), "labels")
 
-    def labelled(linked: DataFrame) -> DataFrame:
-        ends = linked.join(classes.withColumnsRenamed({"name": "a", "class_id": "ca"}), "a").join(classes.withColumnsRenamed({"name": "b", "class_id": "cb"}), "b")
-        return components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    def joined(linked: DataFrame) -> DataFrame:
+        """The labels with those that these links join replaced by the smallest of them."""
+        left, right = (labels.select(F.col("name").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        found = components(linked.join(left, "a").join(right, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        new = labels.join(found, F.col("label") == F.col("node"), "left")
+        return materialize(new.select("name", "class_id", F.coalesce("component", "label").alias("label")), "labels")
 
-    joined = labelled(links)
+    labels = joined(search(pairs))
     for step in range(ROUNDS + 1):
-        ids_of = classes.join(joined, classes["class_id"] == joined["node"], "left").select("name", F.coalesce("component", "class_id").alias("label"))
-        placed = materialize(members.join(ids_of, "name"), "long-lists")
+        placed = materialize(members.join(labels.select("name", "label"), "name"), "long-lists")
         split = placed.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("list")
-        members = materialize(placed.join(split, "list"), "long-lists")
+        members = materialize(placed.join(split, "list").join(bitmaps, "name"), "long-lists")
         if not members.limit(1).count():
             break
-        known = members.join(bitmaps, "name")
-        more = in_cells(known, step) if step < ROUNDS else in_blocks(known)
-        links = links.unionAll(search(materialize(more.join(pairs, ["a", "b"], "left_anti"), "asked")))
-        joined = labelled(links)
-        members = members.drop("label")
-    answer = rows.join(classes, "name", "left").join(joined, F.col("class_id") == F.col("node"), "left")
-    return answer.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
+        more = in_cells(members, step) if step < ROUNDS else in_blocks(members)
+        labels = joined(search(materialize(more.join(pairs, ["a", "b"], "left_anti"), "asked")))
+        members = members.select("list", "name", "n", "rest")
+    answer = rows.join(labels, "name", "left")
+    return answer.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
 
 
 def links(docs: DataFrame, width: int = 5, id_col: str = "doc_id") -> DataFrame:
