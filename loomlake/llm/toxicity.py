@@ -2,34 +2,25 @@
 
 The kernel of two strings sums over all three-letter subsequences they share, each occurrence
 weighted by DECAY to the length it spans, so gapped and inserted-character spellings keep
-most of their kernel value; it is normalised to 1 for equal strings. A sentence is as toxic as
-its worst string (a token, a part of a long one, or a run of single letters set apart, joined
-up): its margin is the largest of theirs.
-
-The squared-hinge SVM is trained on labelled sentences, which take the label of their
-document, as a problem of many instances: of a toxic document, those sentences are toxic that
-the margins say are, its worst one at least, each by the string that witnesses it; all strings
-of clean sentences are clean. Margins and witnesses are found in turn until they stay, from a
-start by how much more frequent a string is in toxic sentences. Witnesses are also given in
-spellings with characters put between. Landmarks of the Nystrom map are a spread of witnesses
-and of the clean strings closest to them. As the kernel is a sum over subsequences, the
-trained decision function is one weight a subsequence, which scores a string in one pass
-without the landmarks.
+most of their kernel value; it is normalised to 1 for equal strings. Landmarks are a spread
+of strings from toxic documents and of their closest clean ones; the Nystrom map of the
+kernel to these landmarks feeds a squared-hinge SVM over the strings of the labelled texts
+(tokens, and runs of single letters set apart, joined up), positive ones also in spellings
+with characters put between. As the kernel is a sum over subsequences, the trained decision
+function is one weight a subsequence, which scores a string in one pass without the landmarks.
 
 A document's score is a logistic function of its highest string margins and of the number
-of positive ones, fitted on the labelled documents of the sample, of which either class counts
-as it does among all labelled ones. Every string of the whole text counts.
+of positive ones, fitted on the same labelled documents. Every token of the whole text counts.
 
-The classifier is fitted on a bounded sample of labelled documents: of either class as many
-(by the lowest hashes of the id) as make up TOXIC_SENTENCES and CLEAN_SENTENCES, about.
-Scoring covers all rows.
+The labelled sample is bounded by about SAMPLE_DOCS (those with the lowest hashes of the id) and
+its strings by SAMPLE_STRINGS; scoring covers all rows. A string's label for the SVM is by the
+documents that have it: toxic where hardly any but toxic ones do, clean where most are clean.
 
 Cases: null text is empty and scored as a text without any toxic string; where no label (or
 only one class) is there to learn from, every score is 0; repeated texts, and ties of any kind,
 get equal scores; rows with a null or repeated id are scored each by itself, and of the
 labelled rows with one id the greatest text is learned from; an empty table gives no rows;
-other columns, whatever their names, are not read; of a long text the distinct strings are
-held, and a long string, beyond its parts, is weighed whole by dynamic programming.
+other columns, whatever their names, are not read; of a long text the distinct strings are held.
 """
 
 from __future__ import annotations
@@ -44,26 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.session import materialize
+from .common import batches, held_out, kept, prepare, share_of, texts_of
 
-from .common import batches, checked, held_out, kept, prepare, texts_of
-
-TOXIC_SENTENCES = 40_000
-CLEAN_SENTENCES = 40_000
-#: Strings of a sentence at most; a longer one goes on as another.
-SENTENCE = 64
+SAMPLE_DOCS = 20_000
+SAMPLE_STRINGS = 40_000
+#: Positive strings, and clean ones close to them, that landmarks are chosen from.
+POSITIVE = 400
 LANDMARKS = 128
-#: Strings of either kind that landmarks are chosen from.
-CHOICE = 800
-#: Turns of margins and witnesses at most.
-TURNS = 6
 #: Weight of the squared norm against the losses of the strings, of which either class weighs 1,000 and 3,000.
 RIDGE = 1.0
 FEATURES = 7
 DECAY = 0.7
-#: Letters of a part of a longer string, and letters up to which subsequences are listed one by one.
-PART = 16
-LISTED = 24
+LONGEST = 16
 CACHE = 250_000
 EDGES = b" .,;:!?\"'()[]{}<>-*_`~#/\\|$%&@^+="
 _SET_APART = re.compile(rb"(?<![^\x20\x09-\x0d])(?:[^\x20\x09-\x0d][\x20\x09-\x0d]){2,}[^\x20\x09-\x0d](?![^\x20\x09-\x0d])")
@@ -79,40 +62,13 @@ def strings_of(text: bytes) -> set[bytes]:
     return set(low.split()) | {b"".join(m.split()) for m in _SET_APART.findall(low)}
 
 
-_STOP = re.compile(rb"(?<=[.!?])[\x20\x09-\x0d]+|[\x0a\x0d]+")
-
-
-def sentences(text: bytes) -> list[set[bytes]]:
-    """The strings of each sentence; one ends at a stop before white space, at a line's end, or after SENTENCE tokens."""
-    out = []
-    for part in _STOP.split(text):
-        tokens = part.split()
-        for at in range(0, len(tokens), SENTENCE):
-            out.append({p for t in strings_of(b" ".join(tokens[at : at + SENTENCE])) for p in pieces(t)})
-    return out
-
-
 def pieces(token: bytes) -> list[bytes]:
-    """A token without its edges; where it is long, its overlapping parts as well."""
+    """A token without its edges, in overlapping windows where it is long."""
     token = token.strip(EDGES)
-    if len(token) <= PART:
+    if len(token) <= LONGEST:
         return [token]
-    step = PART // 2
-    return [token, *(token[i : i + PART] for i in [*range(0, len(token) - PART, step), len(token) - PART])]
-
-
-def long_column(string: bytes) -> np.ndarray:
-    """The weights of all three-letter subsequences of a string of any length, by dynamic programming over its prefixes."""
-    letters = _ALPHABET[np.frombuffer(string, np.uint8)]
-    out = np.zeros((64, 64, 64), np.float32)
-    one, two = np.zeros(64, np.float32), np.zeros((64, 64), np.float32)
-    for c in letters.tolist():
-        out[:, :, c] += DECAY * two
-        two *= DECAY
-        two[:, c] += DECAY * one
-        one *= DECAY
-        one[c] += DECAY
-    return out.ravel()
+    step = LONGEST // 2
+    return [token[i : i + LONGEST] for i in [*range(0, len(token) - LONGEST, step), len(token) - LONGEST]]
 
 
 def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +93,9 @@ def self_kernel(letters: np.ndarray) -> np.ndarray:
 
 
 def by_length(strings: list[bytes], block: int = 4000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes and letters of the strings of three to LISTED letters, in blocks of one length."""
+    """Indexes and letters of the strings of three letters or more, in blocks of one length."""
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    for n in np.unique(lengths[(lengths >= 3) & (lengths <= LISTED)]).tolist():
+    for n in np.unique(lengths[lengths >= 3]).tolist():
         rows = np.flatnonzero(lengths == n)
         for at in range(0, len(rows), max(1, block * 8 // n)):
             part = rows[at : at + max(1, block * 8 // n)]
@@ -147,21 +103,13 @@ def by_length(strings: list[bytes], block: int = 4000) -> Iterator[tuple[np.ndar
             yield part, _ALPHABET[raw]
 
 
-def longer(strings: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    """Index and normalised column of the strings beyond LISTED letters."""
-    for i, string in enumerate(strings):
-        if len(string) > LISTED:
-            column = long_column(string)
-            yield i, column / np.sqrt(np.dot(column, column))
-
-
 def _codes(letters: np.ndarray, at: np.ndarray) -> np.ndarray:
     return letters[:, at[:, 0]] << 12 | letters[:, at[:, 1]] << 6 | letters[:, at[:, 2]]
 
 
 @dataclass
 class Subsequences:
-    """Normalised subsequence weights of some strings of LISTED letters at most: a column each, rows for the codes that occur; row 0 is zero."""
+    """Normalised subsequence weights of some strings: a column each, rows for the codes that occur; row 0 is zero."""
 
     place: np.ndarray
     columns: np.ndarray
@@ -191,9 +139,6 @@ class Subsequences:
             for i, row in enumerate(rows.tolist()):
                 hit = code[i] > 0
                 out[row] = decay[hit] @ self.columns[code[i][hit]] / norm[i]
-        known = np.flatnonzero(self.place)
-        for row, column in longer(strings):
-            out[row] = column[known] @ self.columns[self.place[known]]
         return out
 
 
@@ -203,8 +148,6 @@ def weigh(strings: list[bytes], weights: np.ndarray) -> np.ndarray:
     for rows, letters in by_length(strings):
         at, decay = triples(letters.shape[1])
         out[rows] = weights[_codes(letters, at)] @ decay / np.sqrt(self_kernel(letters))
-    for row, column in longer(strings):
-        out[row] = column @ weights
     return out
 
 
@@ -222,23 +165,18 @@ def spread(kernel: np.ndarray, k: int) -> list[int]:
 
 def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, hinge: bool) -> np.ndarray:
     """Weights (last: the bias) of a squared-hinge SVM or of a logistic regression."""
-    n = x.shape[1] + 1
-    w, keep = np.zeros(n), ridge * np.eye(n)
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+    w, keep = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     keep[-1, -1] = 1e-6
     for _ in range(30):
-        margin = x @ w[:-1].astype(x.dtype) + w[-1]
+        margin = x @ w
         if hinge:
             active = y * margin < 1
             slope, bend = np.where(active, (margin - y), 0) * weight, active * weight
         else:
             p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
             slope, bend = (p - (y > 0)) * weight, np.maximum(p * (1 - p), 1e-6) * weight
-        square, toward = keep.copy(), keep @ w
-        for at in range(0, len(x), 20_000):
-            own = np.hstack([x[at : at + 20_000], np.ones((len(x[at : at + 20_000]), 1))]).astype(np.float64)
-            square += own.T @ (own * bend[at : at + 20_000, None])
-            toward += own.T @ slope[at : at + 20_000]
-        step = np.linalg.solve(square, toward)
+        step = np.linalg.solve(x.T @ (x * bend[:, None]) + keep, x.T @ slope + keep @ w)
         w = w - step
         if np.abs(step).max() < 1e-7:
             break
@@ -257,76 +195,42 @@ class Model:
 
 def spellings(string: bytes) -> list[bytes]:
     """The string with characters put between its letters, and with doubled ones."""
-    return [bytes([c]).join(bytes([b]) for b in string) for c in b"*.-"] + [bytes(x for b in string for x in (b, b))] + [string[:i] + c + string[i:] for i, c in ((1, b"."), (2, b"*"), (len(string) // 2, b"_"))]
-
-
-def fit_sentences(found: list[tuple[int, int, list[list[bytes]]]]) -> tuple[np.ndarray, float, list[bytes]] | None:
-    """The decision function from documents: number, whether toxic, and the strings of each sentence."""
-    number: dict[bytes, int] = {}
-    flat, sizes, owner, toxic = [], [], [], []
-    for doc, bad, parts in sorted(found):
-        for part in parts:
-            own = [number.setdefault(x, len(number)) for x in part if len(x) >= 3]
-            if own:
-                flat += own
-                sizes.append(len(own))
-                owner.append(doc)
-                toxic.append(bad)
-    bad, flat = np.array(toxic, bool), np.array(flat, np.int64)
-    if not bad.any() or bad.all():
-        return None
-    strings = list(number)
-    start = np.r_[0, np.cumsum(sizes)[:-1]]
-    _, owner = np.unique(np.array(owner), return_inverse=True)
-    in_bad = np.repeat(bad, sizes)
-    n_bad, n_clean = (np.bincount(flat[own], minlength=len(strings)) for own in (in_bad, ~in_bad))
-    # How much more often a string stands in sentences of toxic documents: the first margins.
-    margin = np.log((n_bad + 0.5) / (bad.sum() + 1)) - np.log((n_clean + 0.5) / ((~bad).sum() + 1))
-    margin -= margin[n_bad > 0].max() / 2
-
-    def witnesses() -> np.ndarray:
-        """How many toxic sentences each string witnesses."""
-        best = np.maximum.reduceat(margin[flat], start)
-        worst = np.full(owner.max() + 1, -np.inf)
-        np.maximum.at(worst, owner, best)
-        chosen = bad & ((best > 0) | (best >= worst[owner]))
-        sentence = np.repeat(np.arange(len(sizes)), sizes)
-        is_best = np.flatnonzero((margin[flat] >= best[sentence]) & chosen[sentence])
-        _, first = np.unique(sentence[is_best], return_index=True)
-        return np.bincount(flat[is_best[first]], minlength=len(strings))
-
-    def spread_of(kind: np.ndarray, k: int) -> list[bytes]:
-        own = [strings[i] for i in kind.tolist()]
-        return [own[i] for i in spread(Subsequences.of(own).kernel(), k)] if own else []
-
-    listed = np.fromiter((len(x) <= LISTED for x in strings), bool, len(strings))
-    seen = witnesses()
-    likely = np.flatnonzero(listed & (seen > 0))
-    marks = spread_of(likely[np.argsort(-seen[likely], kind="stable")[:CHOICE]], LANDMARKS * 5 // 8)
-    if not marks:
+    return [bytes([c]).join(bytes([b]) for b in string)[:LONGEST] for c in b"*.-"] + [bytes(x for b in string for x in (b, b))[:LONGEST]] + [string[:i] + c + string[i:] for i, c in ((1, b"."), (2, b"*"), (len(string) // 2, b"_"))]
+
+
+def fit_strings(table: list[tuple[bytes, int, int]], n_toxic: int) -> tuple[np.ndarray, float, list[bytes]] | None:
+    """The decision function from (string, toxic documents, clean documents)."""
+    least = max(3, 0.002 * n_toxic)
+    merged: dict[bytes, list[int]] = {}
+    for string, t, c in table:
+        for piece in pieces(string):
+            if len(piece) >= 3:
+                counts = merged.setdefault(piece, [0, 0])
+                counts[0] += t
+                counts[1] += c
+    rows = [(s, t, c) for s, (t, c) in sorted(merged.items())]
+    positive = [(s, t) for s, t, c in rows if t >= least and t >= 0.8 * (t + c)]
+    negative = [(s, t + c) for s, t, c in rows if t < 0.5 * (t + c)]
+    if not positive or not negative:
         return None
-    near = Subsequences.of(marks).of_others(strings).max(1)
-    others = np.flatnonzero(listed & (n_clean > 0) & (seen == 0))
-    marks += spread_of(others[np.argsort(-near[others], kind="stable")[:CHOICE]], LANDMARKS - len(marks))
+    positive.sort(key=lambda x: (-x[1], x[0]))
+    strings = [s for s, _ in positive][:POSITIVE]
+    marks = [strings[i] for i in spread(Subsequences.of(strings).kernel(), LANDMARKS * 5 // 8)]
+    others = [s for s, _ in negative]
+    near = Subsequences.of(marks).of_others(others).max(1)
+    close = [others[i] for i in np.argsort(-near, kind="stable")[:POSITIVE].tolist()]
+    marks += [close[i] for i in spread(Subsequences.of(close).kernel(), LANDMARKS - len(marks))]
     basis = Subsequences.of(marks)
     values, vectors = np.linalg.eigh(basis.kernel().astype(np.float64))
     good = values > 1e-6
-    root = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
-    mapped = basis.of_others(strings) @ root
-    clean = np.flatnonzero(n_clean > 0)
-    for _ in range(TURNS):
-        mine = np.flatnonzero(seen)
-        varied = [(v, seen[i] / 8) for i in mine[seen[mine] > 1].tolist() for v in spellings(strings[i])]
-        x = np.concatenate([mapped[mine], basis.of_others([v for v, _ in varied]) @ root, mapped[clean]])
-        y = np.r_[np.ones(len(mine) + len(varied)), -np.ones(len(clean))]
-        weight = np.r_[seen[mine].astype(float), [n for _, n in varied], np.sqrt(n_clean[clean])]
-        for sign in (1, -1):
-            weight[y == sign] *= 1000 * (1 if sign > 0 else 3) / weight[y == sign].sum()
-        w = newton(x, y, weight, RIDGE, True)
-        margin = mapped @ w[:-1] + w[-1]
-        before, seen = seen, witnesses()
-        if (before == seen).all():
-            break
+    root = vectors[:, good] / np.sqrt(values[good])
+    varied = [(v, t / 8) for s, t in positive if t >= 2 * least for v in spellings(s)]
+    rows_x = [*strings, *(v for v, _ in varied), *others]
+    y = np.r_[np.ones(len(strings) + len(varied)), -np.ones(len(others))]
+    weight = np.r_[[float(t) for _, t in positive[:POSITIVE]], [t for _, t in varied], np.sqrt([float(n) for _, n in negative])]
+    for sign in (1, -1):
+        weight[y == sign] *= 1000 * (1 if sign > 0 else 3) / weight[y == sign].sum()
+    w = newton(basis.of_others(rows_x) @ root, y, weight, RIDGE, True)
     weights = basis.columns @ (root @ w[:-1])
     return weights[basis.place].astype(np.float32), float(w[-1]), marks
 
@@ -360,41 +264,31 @@ class Scorer:
         return np.clip(out, -1.5, 6)
 
 
-def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, doc_id, toxic, weight of the labelled documents that are learned from; weight is what one stands for."""
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    bad = F.col("toxic") > 0
-    known = texts_of(docs.where(F.col("text").isNotNull())).join(marked, "doc_id")
-
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
-            n = [-(-len(t.split()) // SENTENCE) + len(_STOP.findall(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "toxic", "n"])
-
-    counts = known.select("doc_id", "text", "toxic").mapInArrow(count, "doc_id long, toxic int, n long").groupBy("doc_id", "toxic").agg(F.max("n").alias("n"))
-    of = {r["bad"]: r["n"] or 0 for r in counts.groupBy(bad.alias("bad")).agg(F.sum("n").alias("n")).collect()}
-    share = {k: min(1.0, most / max(1, of.get(k, 0))) for k, most in ((True, TOXIC_SENTENCES), (False, CLEAN_SENTENCES))}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    chosen = marked.where(F.when(bad, place < share[True]).otherwise(place < share[False])).withColumn("weight", F.when(bad, 1 / share[True]).otherwise(1 / share[False]))
-    # As many documents as have some ten thousand sentences, whatever the input.
-    taken = texts_of(docs.where(F.col("text").isNotNull())).join(checked(materialize(chosen, "labelled")), "doc_id")
-    return materialize(taken.groupBy("doc_id", "toxic", "weight").agg(F.max("text").alias("text")).select("text", "doc_id", "toxic", "weight"), "labelled-texts")
-
-
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fits on the sample of labelled documents; None where one class is missing."""
+    """Fits on about SAMPLE_DOCS labelled documents at most; None where one class is missing."""
     spark = prepare(docs.sparkSession)
-    known = sampled(docs, labels)
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sample = share_of(marked, SAMPLE_DOCS, "doc_id")
+    # About SAMPLE_DOCS rows of two numbers; of rows with one id, one text.
+    taken = texts_of(docs.where(F.col("text").isNotNull())).join(F.broadcast(sample), "doc_id")
+    known = taken.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic")
 
-    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            own = [[sorted(x) for x in sentences(t)] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(own, pa.list_(pa.list_(pa.binary())))], ["doc_id", "toxic", "sentences"])
-
-    found = known.mapInArrow(cut, "doc_id long, toxic int, sentences array<array<binary>>").toArrow()
-    rows = [(doc, toxic > 0, [[bytes(x) for x in part] for part in parts]) for doc, toxic, parts in zip(*(found.column(c).to_pylist() for c in range(3)))]
-    fitted = fit_sentences(rows)
-    del found, rows
+            found: dict[bytes, list[int]] = {}
+            totals = [0, 0]
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                totals[toxic > 0] += 1
+                for s in strings_of(text):
+                    found.setdefault(s.strip(EDGES), [0, 0])[toxic > 0] += 1
+            found[b" "] = totals
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([c[1] for c in found.values()], pa.int64()), pa.array([c[0] for c in found.values()], pa.int64())], ["string", "toxic", "clean"])
+
+    counted = known.mapInArrow(count, "string binary, toxic long, clean long").groupBy("string").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    rows = counted.where(F.col("toxic") + F.col("clean") >= 3).orderBy(F.desc(F.col("string") == F.lit(b" ")), F.desc("toxic"), F.desc("clean"), "string").limit(SAMPLE_STRINGS).collect()
+    table = [(bytes(r["string"]), r["toxic"], r["clean"]) for r in rows]
+    n_toxic = next((t for s, t, _ in table if s == b" "), 0)
+    fitted = fit_strings([r for r in table if r[0] != b" "], n_toxic)
     if fitted is None:
         return None
     weights, bias, marks = fitted
@@ -404,11 +298,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         scorer = Scorer(*shared.value)
         for batch in batches(rows_):
             x = scorer.features(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(FEATURES)), batch.column(1), batch.column(2), batch.column(3)], [*(f"f{i}" for i in range(FEATURES)), "doc_id", "toxic", "weight"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(FEATURES)), batch.column(1)], [*(f"f{i}" for i in range(FEATURES)), "toxic"])
 
-    seen = known.mapInArrow(features, ", ".join(f"f{i} double" for i in range(FEATURES)) + ", doc_id long, toxic int, weight double").toPandas().sort_values("doc_id")
+    seen = known.mapInArrow(features, ", ".join(f"f{i} double" for i in range(FEATURES)) + ", toxic int").toPandas()
     y = np.where(seen["toxic"] > 0, 1.0, -1.0)
-    logistic = newton(seen[[f"f{i}" for i in range(FEATURES)]].to_numpy(), y, seen["weight"].to_numpy(), 1.0, False)
+    logistic = newton(seen[[f"f{i}" for i in range(FEATURES)]].to_numpy(), y, np.ones(len(y)), 1.0, False)
     return Model(weights, bias, logistic, marks)
 
 

@@ -81,10 +81,6 @@ def brute_kernel(s, t):
 def test_kernel_against_enumeration():
     strings = [b"idiot", b"i.d.i.o.t", b"idiiot", b"banana", b"aaaa", b"the"]
     found = toxicity.Subsequences.of(strings)
-    long = b"anyone can see idiots in a line".replace(b" ", b"")
-    assert len(long) > toxicity.LISTED
-    assert np.allclose(found.of_others([long])[0], [brute_kernel(long, t) for t in strings], atol=1e-5)
-    assert np.allclose(toxicity.weigh([long, b"no"], found.columns[found.place, 0]), [brute_kernel(long, b"idiot"), 0], atol=1e-5)
     got = found.of_others(strings)
     assert np.allclose(got, found.kernel(), atol=1e-5)
     assert np.allclose(toxicity.weigh(strings, found.columns[found.place, 1]), got[:, 1], atol=1e-5)
@@ -121,18 +117,10 @@ def test_toxicity_learns_gapped_insults(spark, make_docs, no_docs):
         assert toxicity.weigh([string], model.weights)[0] == pytest.approx(brute, abs=0.02)
 
 
-def test_sentences_of_one_document():
-    text = b"One line here\nTwo. Three! n i t w i t" + b" word" * 70
-    found = toxicity.sentences(text)
-    assert {b"one", b"line", b"here"} in found and {b"two"} in found and any(b"nitwit" in x for x in found)
-    assert sum(b"word" in x for x in found) == 2
-
-
 def test_toxicity_from_sentences_with_repeats(spark, make_docs, monkeypatch):
     """Only one sentence of a toxic document is toxic, a third of the rows have one id, and few documents are sampled."""
     rng = random.Random(4)
-    for name in ("TOXIC_SENTENCES", "CLEAN_SENTENCES"):
-        monkeypatch.setattr(toxicity, name, 400)
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 250)
     clean = ["garden", "window", "river", "bread", "table", "music", "paper", "stone", "light", "water", "morning", "letter"]
     rows, labels = [], []
     for i in range(400):
