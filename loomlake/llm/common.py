@@ -77,8 +77,8 @@ def batches(rows: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.
             yield batch.slice(at, step)
 
 
-#: Rows of one number that are broadcast at most; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows of one number that are broadcast at most, some 16 MB in memory; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def checked(ids: DataFrame) -> DataFrame:
