@@ -161,3 +161,30 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert set(got) == set(left) and 202 not in got and 200 not in got and {204, 205} & set(got)
     assert all(r.decoded_sha256 == hashlib.sha256(left[i].encode()).hexdigest() for i, r in got.items())
     assert ngram_join.representatives(frame).columns == frame.columns and bpe.SHORT == 32
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, ties, clashing column names, and tables without rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, label string, part int, text_ string"
+    line = "the same words stand in every one of these rows and so they are near copies of each other, all of them"
+    texts = [(1, line), (1, line), (2, line + " too"), (None, line), (None, None), (3, None), (4, ""), (5, "long " * 30_000), (6, "   "), (7, "short")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1, "y") for i, t in texts], schema)
+    for name, rows in (("full", frame), ("none", frame.limit(0))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int").limit(2 if name == "full" else 0).write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "a test item that no document holds")], "item_id long, text string").limit(1 if name == "full" else 0).write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for step, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            docs.write.parquet(f"{folder}/{step}")
+            docs = spark.read.parquet(f"{folder}/{step}")
+            assert docs.columns == frame.columns
+        got = corpus_pipeline.encode(spark, docs, folder).collect()
+        if name == "none":
+            assert not got
+            continue
+        # One of the near copies stays, rows with a null id stay as they are, and so do all others.
+        assert sorted(str(r.doc_id) for r in got) == sorted(["1", "None", "None", "3", "4", "5", "6", "7"])
+        decoded = {str(r.doc_id): r.decoded_sha256 for r in got if r.doc_id is not None}
+        assert decoded["5"] == hashlib.sha256(b"long " * 30_000).hexdigest() and decoded["1"] == hashlib.sha256(line.encode()).hexdigest()
