@@ -6,6 +6,7 @@ Reading YAML needs Python; everything after the nodes is column work on one row
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,37 +38,80 @@ def _is_text(tag: str | None, plain: bool, value: str) -> bool:
     return case not in BOOLEANS and not re.fullmatch(number, value)
 
 
+@dataclass
+class Node:
+    """A YAML node as written: kind, the value of a scalar, whether it is plain, its tag if one is given, and what it holds."""
+
+    kind: str
+    value: object = None
+    plain: bool = False
+    tag: str | None = None
+
+
+#: Plain scalars that are null.
+NULLS = ["", "~", "null", "Null", "NULL"]
+
+
+def _top(text: str) -> Node | None:
+    """The node of a text's only document, built from the parser's events (in C where PyYAML has it)."""
+    import yaml
+
+    stack, named, top, documents = [], {}, None, 0
+    for event in yaml.parse(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+        if isinstance(event, yaml.DocumentStartEvent):
+            documents += 1
+            named = {}
+        if isinstance(event, (yaml.MappingEndEvent, yaml.SequenceEndEvent)):
+            stack.pop()
+        if not isinstance(event, yaml.NodeEvent):
+            continue
+        if isinstance(event, yaml.AliasEvent):
+            if event.anchor not in named:
+                raise ValueError("an alias without an anchor")
+            node = named[event.anchor]
+        elif isinstance(event, yaml.ScalarEvent):
+            node = Node("scalar", event.value, not event.style, event.tag)
+        else:
+            node = Node("mapping" if isinstance(event, yaml.MappingStartEvent) else "sequence", [], tag=event.tag)
+        if stack:
+            stack[-1].value.append(node)
+        else:
+            top = node
+        if event.anchor and not isinstance(event, yaml.AliasEvent):
+            if event.anchor in named:
+                raise ValueError("an anchor twice")
+            named[event.anchor] = node
+        if isinstance(event, (yaml.MappingStartEvent, yaml.SequenceStartEvent)):
+            stack.append(node)
+    if documents > 1:
+        raise ValueError("more than one document")
+    return top
+
+
 def _nodes(text: str, root: str):
     """Whether it parses, the first key error in document order, and the nodes that are needed."""
     import yaml
 
-    class Loader(yaml.SafeLoader):
-        def compose_scalar_node(self, anchor):
-            given = self.peek_event().tag
-            node = super().compose_scalar_node(anchor)
-            node.given = given  # the tag as written, before any is inferred
-            return node
-
     try:
-        top = yaml.compose(text, Loader=Loader)
+        top = _top(text)
     except (yaml.YAMLError, ValueError):
         return False, None, {}
+    pairs = lambda node: list(zip(node.value[::2], node.value[1::2]))
     nodes: dict[str, tuple] = {}
 
     def take(path: str, node) -> None:
-        if isinstance(node, yaml.ScalarNode):
-            plain = node.style is None
-            is_null = plain and node.tag == "tag:yaml.org,2002:null"
-            nodes[path] = ("null" if is_null else "scalar", node.value, _is_text(node.given, plain, node.value))
+        if node.kind == "scalar":
+            is_null = node.plain and (node.tag == "tag:yaml.org,2002:null" or node.tag is None and node.value in NULLS)
+            nodes[path] = ("null" if is_null else "scalar", node.value, _is_text(node.tag, node.plain, node.value))
         else:
-            nodes[path] = ("mapping" if isinstance(node, yaml.MappingNode) else "sequence", None, False)
+            nodes[path] = (node.kind, None, False)
 
     def keys(node, field: str, allowed: list[str]):
-        if not isinstance(node, yaml.MappingNode):
+        if node is None or node.kind != "mapping":
             return "invalid_type", field
         seen = set()
-        for key, _ in node.value:
-            if not isinstance(key, yaml.ScalarNode):
+        for key, _ in pairs(node):
+            if key.kind != "scalar":
                 return "invalid_type", field
             if key.value not in allowed:
                 return "unknown_key", f"{field}.{key.value}"
@@ -81,17 +125,17 @@ def _nodes(text: str, root: str):
         return True, error, nodes
     if not top.value:
         return True, ("missing_key", root), nodes
-    settings = top.value[0][1]
+    settings = top.value[1]
     error = keys(settings, root, SETTINGS)
     if error:
         return True, error, nodes
     admin_error = None
-    for key, node in settings.value:
+    for key, node in pairs(settings):
         take(key.value, node)
         if key.value == "admin":
             admin_error = keys(node, f"{root}.admin", ADMIN)
             if admin_error is None:
-                for name, inner in node.value:
+                for name, inner in pairs(node):
                     take(f"admin_{name.value}", inner)
     if admin_error:
         nodes["admin_error"] = (*admin_error, False)

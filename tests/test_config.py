@@ -43,6 +43,11 @@ def cases():
     for name, values in ADMIN_BAD.items():
         for value, code in values:
             yield document(admin=[(name, value)]), code and (code, f"top.admin.{name}")
+    # Anchors and aliases, an alias of nothing, two documents, and none.
+    yield "top: {schema_version: &v 1, node_id: *v}", None
+    yield "top: {schema_version: *gone}", ("malformed_yaml", "root")
+    yield document() + "---\n" + document(), ("malformed_yaml", "root")
+    yield "", ("invalid_type", "root")
     # Structure: unknown, repeated and missing keys, other shapes, and text that is no YAML.
     yield document(colour="red"), ("unknown_key", "top.colour")
     yield document(admin=[("host", "x")]), ("unknown_key", "top.admin.host")
