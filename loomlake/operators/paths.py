@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def ends(text: Column, suffixes: list[str]) -> Column:
     return out
 
 
+def has_suffix(path: Column, suffixes: list[str]) -> Column:
+    """Whether the name has one of these suffixes after something else: a name that begins with its only dot has none."""
+    return path.rlike(rf"[^/](?:{'|'.join(map(re.escape, suffixes))})\z")
+
+
 def is_generated(path: Column) -> Column:
     """Generated by name, directory or suffix, or below a generated top directory."""
     top = parts(path)[0]
@@ -43,8 +50,7 @@ def is_generated(path: Column) -> Column:
 def is_build_file(path: Column) -> Column:
     own = name(path)
     oss = (own.startswith("BUILD.") | own.startswith("WORKSPACE.")) & own.endswith(".oss")
-    hidden = own.rlike(r"\A\.[^.]*\z")  # a name that begins with its only dot has no suffix
-    return own.isin(BUILD_NAMES) | oss | (ends(own, BUILD_SUFFIXES) & ~hidden)
+    return own.isin(BUILD_NAMES) | oss | has_suffix(path, BUILD_SUFFIXES)
 
 
 def is_production(path: Column) -> Column:
@@ -53,4 +59,4 @@ def is_production(path: Column) -> Column:
 
 
 def is_cpp(path: Column) -> Column:
-    return ends(F.lower(name(path)), CPP_SUFFIXES) & ~name(path).rlike(r"\A\.[^.]*\z")
+    return has_suffix(F.lower(path), CPP_SUFFIXES)
