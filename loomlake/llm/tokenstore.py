@@ -1,7 +1,7 @@
 """Operator 10: a binary token store whose shards carry a minimal perfect hash index.
 
-Documents are encoded where they lie; what is dealt by ranges of doc_id is their ids, two bytes
-each. A shard is one row of a Parquet table: raw little-endian ids, end offsets, and an index of the shard's keys. The
+Documents are dealt by ranges of doc_id and encoded in that order. A shard is one row of a
+Parquet table: raw little-endian ids, end offsets, and an index of the shard's keys. The
 index is a cascade of bit arrays (keys that meet no other in a level are settled there, the
 rest go one level down); the rank of a key's bit is its slot, and the slot holds a 32-bit
 fingerprint of the key and the place of its document. A lookup so reads one bit in a few
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomlake.session import discard, materialize, scratch
+from loomlake.session import materialize, scratch
 
 from .common import batches, kept, mix, prepare, texts_of
 from .pieces import Remembered
@@ -178,20 +178,6 @@ class Shard:
         return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
-def encoded(docs: DataFrame, definition: str, dtype: str, end_id: int) -> DataFrame:
-    """doc_id, ids: what the library makes of each text, and end_id, in this type of whole numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(definition)  # a vocabulary file of a few MB
-    end = np.array([end_id], dtype).tobytes()
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = kept("tokenizer", (hash(shared.value), dtype), lambda: Tokenizer(shared.value, dtype))
-        for batch in batches(rows, 2 << 20):
-            ids = own.encode([t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
-
-    return texts_of(docs).mapInArrow(run, "doc_id long, ids binary")
-
-
 def write(docs: DataFrame, path: str, definition: str, end_id: int = 0) -> None:
     """Encode all texts, each with end_id after it, and write the store to path.
 
@@ -203,11 +189,14 @@ def write(docs: DataFrame, path: str, definition: str, end_id: int = 0) -> None:
 
     size = tokenizers.Tokenizer.from_str(definition).get_vocab_size(with_added_tokens=True)
     width, dtype = (2, "<u2") if size <= 1 << 16 else (4, "<u4")
+    shared = spark.sparkContext.broadcast(definition)  # a vocabulary file of a few MB
+    end = np.array([end_id], dtype).tobytes()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
+        own = kept("tokenizer", (hash(shared.value), dtype), lambda: Tokenizer(shared.value, dtype))
         keys: list[int] = []
         payloads: list[bytes] = []
         held = 0
@@ -217,23 +206,20 @@ def write(docs: DataFrame, path: str, definition: str, end_id: int = 0) -> None:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [c.split()[0] for c in COLUMNS.split(", ")])
 
         types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in COLUMNS.split(", ")]
-        for batch in rows:
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for batch in batches(rows, 4 << 20):
+            for key, ids in zip(batch.column(0).to_pylist(), own.encode([t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()])):
                 if held >= SHARD_BYTES:
                     yield flush()
                     keys, payloads, held, number = [], [], 0, number + 1
                 keys.append(NULL_KEY if key is None else key)
-                payloads.append(ids)
-                held += len(ids)
+                payloads.append(ids + end)
+                held += len(ids) + width
         if keys:
             yield flush()
 
-    # Written first: to find the ranges, Spark reads what it deals twice.
-    ids = materialize(encoded(docs, definition, dtype, end_id), "token-ids")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = ids.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
+    dealt = texts_of(docs).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
     dealt.mapInArrow(run, COLUMNS).write.option("compression", "zstd").parquet(path)
-    discard(ids)
 
 
 def shard_starts(store: DataFrame) -> DataFrame:
