@@ -15,7 +15,8 @@ of the training texts, are trained on all of them, each on the texts that a hash
 it, and averaged in two rounds of grouped sums, weighted by tokens; so the result does not
 depend on how the input is stored. Texts run in lanes: a lane takes text after text, the state
 is carried across windows and set to zero where a text begins, so a text of any length is
-scored whole.
+scored whole. To score, a window of few lanes takes more of their steps, LONGEST at most, so
+that it holds about as many tokens as one of all lanes.
 
 Counts of the KNOWN most frequent words are broadcast; the other words of a text meet their
 counts in a join.
@@ -51,13 +52,22 @@ START_DOCS = 1_500
 STATE = 24
 LANES = 512
 WINDOW = 16
+#: Steps of a window where texts are only scored, and of one of few lanes at most.
+LONGER = 32
+LONGEST = 512
 RATE = 0.01
 #: Training tokens of one copy, and tokens that are packed into lanes at once.
 COPY = 3_000_000
 PACKED = 4_000_000
 #: Logits beyond which their largest is taken off before they are exponentiated.
 LARGE = 60.0
-SLICE = 1024
+SLICE = 8192
+#: Parameters that are updated at once, so that they stay in the processor's cache.
+BLOCK = 1 << 14
+#: Rows of the softmax that are computed at once, for the same reason.
+ROWS = 1024
+#: Rows of a word whose gradients are summed along with those of all words.
+FEW = 8
 END = b""
 FLOAT = np.float32
 
@@ -118,12 +128,10 @@ class Network:
     """Parameters as one vector with views: input, recurrent, class and word weights; the last row of these two is their bias."""
 
     def __init__(self, v: Vocabulary, flat: np.ndarray | None = None):
-        self.v, at, self.parts = v, 0, []
-        sizes = [int(np.prod(s)) for s in shapes(v)]
-        self.flat = np.zeros(sum(sizes), FLOAT) if flat is None else flat.copy()
-        for size, shape in zip(sizes, shapes(v)):
-            self.parts.append(self.flat[at : at + size].reshape(shape))
-            at += size
+        self.v = v
+        self.flat = np.zeros(sum(int(np.prod(s)) for s in shapes(v)), FLOAT) if flat is None else flat.copy()
+        self.parts = self.views(self.flat)
+        self.grad: np.ndarray | None = None  # what gradient() fills, and its views
         if flat is None:
             rng = np.random.default_rng(1)
             for part in self.parts[:2]:
@@ -132,6 +140,14 @@ class Network:
             self.parts[2][-1] = v.class_bias
             self.parts[3][:, -1] = v.word_bias
 
+    def views(self, flat: np.ndarray) -> list[np.ndarray]:
+        found, at = [], 0
+        for shape in shapes(self.v):
+            size = int(np.prod(shape))
+            found.append(flat[at : at + size].reshape(shape))
+            at += size
+        return found
+
     def run(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray):
         """States of a window (steps by lanes, and a one for the bias), what the way back needs, and the last state.
 
@@ -139,7 +155,9 @@ class Network:
         """
         w_in, w_rec = self.parts[0], self.parts[1].T
         steps, lanes = x.shape
-        gates = np.ascontiguousarray(w_in[x].transpose(0, 2, 1))
+        gates, some = np.empty((steps, 3 * STATE, lanes), FLOAT), max(1, LANES // lanes)
+        for t in range(0, steps, some):
+            gates[t : t + some] = w_in.take(x[t : t + some], axis=0).transpose(0, 2, 1)
         states, trace = np.ones((steps, lanes, STATE + 1), FLOAT), []
         whole = keep.all(1)
         size = np.empty((2 * STATE, lanes), FLOAT)
@@ -155,7 +173,7 @@ class Network:
             new, rec = gates[t, 2 * STATE :], rec[2 * STATE :]
             new += both[:STATE] * rec
             squash(new, size[:STATE])
-            trace.append((h, both[:STATE], both[STATE:], new, rec))
+            trace.append((h, both, new, rec))
             step = new - h
             step *= both[STATE:]
             step += h
@@ -164,92 +182,138 @@ class Network:
         return states, trace, h
 
     def targets(self, h: np.ndarray, y: np.ndarray, back: bool):
-        """Log-probability of each target class and word; with back, gradients of their sum's negative too."""
+        """Log-probability of each target class and word; with back, the gradient of their mean's negative by h, and in grad by the weights.
+
+        Inside, rows are in the order of their class.
+        """
         _, _, w_class, w_word = self.parts
-        own, rows = self.v.class_of[y], np.arange(len(y))
-        p = h @ w_class
-        out = p[rows, own]
-        total = exponentiated(p, out)
-        out -= np.log(total)
+        own = self.v.class_of[y]
         order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(self.v.n_classes)).tolist()
-        order = order[: cuts[-1]]
+        h, y, own = h.take(order, axis=0), y[order], own[order]
+        cuts = np.searchsorted(own, np.arange(self.v.n_classes)).tolist()
+        word, logp, dh = y - own * np.int32(self.v.size), np.empty(len(y), FLOAT), np.empty((len(y), STATE), FLOAT)
+        each = FLOAT(1 / max(1, len(y)))
+        if back:
+            _, _, g_class, g_word = self.grad_parts
+            g_class.fill(0)
+            g_word.fill(0)
+        # In pieces that stay in the processor's cache: first classes, then words of a few whole classes.
+        p = np.empty((min(ROWS, len(y)), self.v.n_classes), FLOAT)
+        for a in range(0, len(y), ROWS):
+            part = slice(a, a + ROWS)
+            rows = np.arange(len(own[part]))
+            logits = np.matmul(h[part], w_class, out=p[: len(rows)])
+            target = logits[rows, own[part]]
+            total = exponentiated(logits, target)
+            logp[part] = target - np.log(total)
+            if back:
+                logits *= (each / total)[:, None]
+                logits[rows, own[part]] -= each
+                np.matmul(logits, w_class[:-1].T, out=dh[part])
+                g_class += h[part].T @ logits
         spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
-        hs = h[order]
-        q = np.empty((len(order), self.v.size), FLOAT)
-        for k, a, b in spans:
-            np.matmul(hs[a:b], w_word[k], out=q[a:b])
-        at, word = np.arange(len(order)), y[order] - own[order].astype(np.int32) * self.v.size
-        inner = q[at, word]
-        sums = exponentiated(q, inner)
-        out[order] += inner - np.log(sums)
+        while spans:
+            first, taken = spans[0][1], 1
+            while taken < len(spans) and spans[taken][2] - first <= ROWS:
+                taken += 1
+            some, spans = spans[:taken], spans[taken:]
+            part = slice(first, some[-1][2])
+            rows = np.arange(part.stop - first)
+            logits = np.empty((len(rows), self.v.size), FLOAT)
+            for k, a, b in some:
+                np.matmul(h[a:b], w_word[k], out=logits[a - first : b - first])
+            target = logits[rows, word[part]]
+            total = exponentiated(logits, target)
+            logp[part] += target - np.log(total)
+            if back:
+                logits *= (each / total)[:, None]
+                logits[rows, word[part]] -= each
+                for k, a, b in some:
+                    np.matmul(h[a:b].T, logits[a - first : b - first], out=g_word[k])
+                    dh[a:b] += logits[a - first : b - first] @ w_word[k, :-1].T
+        out = np.empty_like(logp)
+        out[order] = logp
         if not back:
             return out, None
-        p *= (FLOAT(1) / total)[:, None]
-        p[rows, own] -= 1
-        dh, grads = p @ w_class[:-1].T, [h.T @ p, np.zeros_like(w_word)]
-        if spans:
-            q *= (FLOAT(1) / sums)[:, None]
-            q[at, word] -= 1
-            more = np.empty((len(order), STATE), FLOAT)
-            for k, a, b in spans:
-                np.matmul(hs[a:b].T, q[a:b], out=grads[1][k])
-                np.matmul(q[a:b], w_word[k, :-1].T, out=more[a:b])
-            dh[order] += more
-        return out, (dh, grads)
+        d_out = np.empty_like(dh)
+        d_out[order] = dh
+        return out, d_out
 
     def gradient(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.ndarray):
-        """Gradient vector of a window's mean loss, and the state to carry on."""
+        """Gradient vector of a window's mean loss, which the next call overwrites, and the state to carry on."""
+        if self.grad is None:
+            self.grad = np.zeros_like(self.flat)
+            self.grad_parts = self.views(self.grad)
+        g_in, g_rec, _, _ = self.grad_parts
         states, trace, last = self.run(x, keep, h)
         steps, lanes = x.shape
-        live = np.flatnonzero(y.ravel() >= 0)
-        _, (dh_live, (g_class, g_word)) = self.targets(states.reshape(-1, STATE + 1)[live], y.ravel()[live], True)
-        d_out = np.zeros((steps * lanes, STATE), FLOAT)
-        d_out[live] = dh_live
-        d_out = np.ascontiguousarray(d_out.reshape(steps, lanes, STATE).transpose(0, 2, 1))
+        states, y = states.reshape(-1, STATE + 1), y.ravel()
+        live = np.flatnonzero(y >= 0)
+        if len(live) == len(y):
+            _, d_out = self.targets(states, y, True)
+        else:
+            d_out = np.zeros((steps * lanes, STATE), FLOAT)
+            d_out[live] = self.targets(states[live], y[live], True)[1]
+        d_out = d_out.reshape(steps, lanes, STATE)
         w_rec = self.parts[1]
-        d_gates = np.empty((steps, 3 * STATE, lanes), FLOAT)
-        g_rec = np.zeros_like(w_rec)
-        dh, d_rec, room = np.zeros((STATE, lanes), FLOAT), np.empty((3 * STATE, lanes), FLOAT), np.empty((STATE, lanes), FLOAT)
+        d_rows, d_gates = np.empty((steps, lanes, 3 * STATE), FLOAT), np.empty((3 * STATE, lanes), FLOAT)
+        d_both, d_new = d_gates[: 2 * STATE], d_gates[2 * STATE :]
+        d_reset, d_update = d_both[:STATE], d_both[STATE:]
+        g_rec.fill(0)
+        dh, d_rec, room, slope = np.zeros((STATE, lanes), FLOAT), np.empty((3 * STATE, lanes), FLOAT), np.empty((STATE, lanes), FLOAT), np.empty((2 * STATE, lanes), FLOAT)
         whole = keep.all(1)
         for t in range(steps - 1, -1, -1):
-            before, reset, update, new, rec = trace[t]
-            d_reset, d_update, d_new = (d_gates[t, k * STATE : (k + 1) * STATE] for k in range(3))
-            dh += d_out[t]
+            before, both, new, rec = trace[t]
+            reset, update = both[:STATE], both[STATE:]
+            dh += d_out[t].T
             # Gates are half of one plus the squashed sum: their slope is twice the square of the nearer end.
-            np.subtract(FLOAT(1), update, out=room)
-            np.minimum(room, update, out=room)
+            np.subtract(FLOAT(1), both, out=slope)
+            np.minimum(slope, both, out=slope)
+            slope *= slope
+            slope *= FLOAT(2)
             np.subtract(new, before, out=d_update)
             d_update *= dh
-            d_update *= room
-            d_update *= room
-            d_update *= FLOAT(2)
             carried = dh * update
             np.abs(new, out=room)
             np.subtract(FLOAT(1), room, out=room)
             np.multiply(carried, room, out=d_new)
             d_new *= room
             np.multiply(d_new, reset, out=d_rec[2 * STATE :])
-            np.subtract(FLOAT(1), reset, out=room)
-            np.minimum(room, reset, out=room)
             np.multiply(d_new, rec, out=d_reset)
-            d_reset *= room
-            d_reset *= room
-            d_reset *= FLOAT(2)
-            d_rec[: 2 * STATE] = d_gates[t, : 2 * STATE]
+            d_both *= slope
+            d_rows[t] = d_gates.T
+            d_rec[: 2 * STATE] = d_both
             g_rec += before @ d_rec.T
             dh -= carried
             dh += w_rec @ d_rec
             if not whole[t]:
                 dh *= keep[t]
-        d_gates = d_gates.transpose(0, 2, 1)
-        g_in = np.zeros_like(self.parts[0])
-        ids = x.ravel()
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
-        g_in[ids[order][first]] = np.add.reduceat(d_gates.reshape(-1, 3 * STATE)[order], first, axis=0)
-        grad = np.concatenate([g.ravel() for g in (g_in, g_rec, g_class, g_word)])
-        return grad / max(1, len(live)), last
+        g_in.fill(0)
+        words, sums = summed(x.ravel(), d_rows.reshape(-1, 3 * STATE))
+        g_in[words] = sums
+        return self.grad, last
+
+
+def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and the sum of the rows of each: FEW rows of all ids one after the other, the rest id by id."""
+    ids = ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids  # shorter to sort
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    counts = np.diff(np.r_[first, len(ids)])
+    most = np.argsort(-counts, kind="stable")
+    first, counts = first[most], counts[most]
+    sums = rows.take(order[first], axis=0)
+    for k in range(1, FEW):
+        n = int(np.searchsorted(-counts, -k))
+        if not n:
+            break
+        sums[:n] += rows.take(order[first[:n] + k], axis=0)
+    ones = np.ones(len(ids), rows.dtype)
+    for j in range(int(np.searchsorted(-counts, -FEW))):
+        more = order[first[j] + FEW : first[j] + counts[j]]
+        sums[j] += ones[: len(more)] @ rows.take(more, axis=0)
+    return ids[first], sums
 
 
 class Trainer:
@@ -257,26 +321,31 @@ class Trainer:
 
     def __init__(self, network: Network, rate: float):
         self.network, self.rate, self.steps, self.tokens = network, rate, 0, 0
-        self.mean, self.square, self.room = (np.zeros_like(network.flat) for _ in range(3))
+        self.mean, self.square = np.zeros_like(network.flat), np.zeros_like(network.flat)
+        self.room = np.empty(BLOCK, network.flat.dtype)
 
     def step(self, grad: np.ndarray, share: float) -> None:
+        """One step; share: of a step on all lanes. The gradient is changed."""
         self.steps += 1
         norm = float(np.sqrt(np.dot(grad, grad)))
-        if norm > 1:
-            grad = grad / FLOAT(norm)
-        room = np.subtract(grad, self.mean, out=self.room)
-        room *= FLOAT(0.1)
-        self.mean += room
-        np.multiply(grad, grad, out=room)
-        room -= self.square
-        room *= FLOAT(0.005)
-        self.square += room
-        scale = share * self.rate / (1 - 0.9**self.steps) * np.sqrt(1 - 0.995**self.steps)
-        np.sqrt(self.square, out=room)
-        room += FLOAT(1e-7)
-        np.divide(self.mean, room, out=room)
-        room *= FLOAT(scale)
-        self.network.flat -= room
+        # The moments are kept as plain sums, 10 and 200 times the means.
+        small = FLOAT(1e-7 * np.sqrt(200))
+        scale = FLOAT(share * self.rate / (1 - 0.9**self.steps) * np.sqrt(1 - 0.995**self.steps) * np.sqrt(200) / 10)
+        for at in range(0, len(grad), BLOCK):
+            own, mean, square, flat = (a[at : at + BLOCK] for a in (grad, self.mean, self.square, self.network.flat))
+            room = self.room[: len(own)]
+            if norm > 1:
+                own /= FLOAT(norm)
+            mean *= FLOAT(0.9)
+            mean += own
+            own *= own
+            square *= FLOAT(0.995)
+            square += own
+            np.sqrt(square, out=room)
+            room += small
+            np.divide(mean, room, out=room)
+            room *= scale
+            flat -= room
 
     def learn(self, texts: list[np.ndarray]) -> None:
         h = None
@@ -288,11 +357,12 @@ class Trainer:
         self.tokens += sum(map(len, texts))
 
 
-def windows(texts: list[np.ndarray], v: Vocabulary, steps: int) -> Iterator[tuple[np.ndarray, ...]]:
+def windows(texts: list[np.ndarray], v: Vocabulary, steps: int, longest: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
     """Inputs, targets (-1: none), whether the state is kept, and the text, by step and lane.
 
     Texts are dealt to lanes, longest first to the lane with least; lanes stand in the order
-    of what they hold, so that those still running are the first.
+    of what they hold, so that those still running are the first. The fewer these are, the
+    more steps a window has, up to longest; with 0 it always has as many.
     """
     lanes = min(LANES, len(texts))
     load = [(0, lane) for lane in range(lanes)]
@@ -312,19 +382,22 @@ def windows(texts: list[np.ndarray], v: Vocabulary, steps: int) -> Iterator[tupl
     keep[starts] = 0
     owner = np.repeat(np.array([*order, -1]), [*(len(texts[k]) for k in order), steps])
     first = np.r_[0, np.cumsum(length)[:-1]]
-    for at in range(0, int(length[0]), steps):
+    at, most = 0, int(length[0])
+    while at < most:
         running = int((length > at).sum())
-        t = at + np.arange(steps)[:, None]
+        ahead = min(max(steps, longest), steps * (lanes // running), -(-(most - at) // steps) * steps)
+        t = at + np.arange(ahead)[:, None]
         place = first[:running] + t
         inside = t < length[:running]
         place[~inside] = len(y) - 1
         yield x[place], np.where(inside, y[place], -1), keep[place], owner[place]
+        at += ahead
 
 
 def scored(texts: list[np.ndarray], network: Network) -> np.ndarray:
     """Natural log-probability of each text of head ids; words outside the head count as their class."""
     h, out = None, np.zeros(len(texts))
-    for x, y, keep, owner in windows(texts, network.v, WINDOW):
+    for x, y, keep, owner in windows(texts, network.v, LONGER, LONGEST):
         h = np.zeros((STATE, x.shape[1]), FLOAT) if h is None else h[:, : x.shape[1]]
         states, _, h = network.run(x, keep, h)
         live = np.flatnonzero(y.ravel() >= 0)
@@ -439,7 +512,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, flat: np.ndarray) -
 
         def table(kind: int, size: int, columns: dict) -> pa.RecordBatch:
             kinds = {"row": pa.int64(), "doc_id": pa.int64(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "model": pa.float64(), "word": pa.binary()}
-            return pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.int32()), *(pa.array(columns.get(c, [None] * size), t) for c, t in kinds.items())], ["kind", *kinds])
+            return pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.int32()), *(pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in kinds.items())], ["kind", *kinds])
 
         def flush() -> Iterator[pa.RecordBatch]:
             texts = [np.where((t < own.head) & (t >= 0), t, own.rest) for _, _, t, _ in held]
@@ -451,10 +524,13 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, flat: np.ndarray) -
                 values = row, doc, len(ids), int(seen[ids].sum()), float(logs[ids].sum() - len(ids) * np.log10(scale)), lp + float(logs[other].sum() - len(other) * np.log10(own.rest_mass))
                 for column, value in zip(out.values(), values):
                     column.append(value)
-                for word, n in Counter(words).items():
-                    extra["row"].append(row), extra["word"].append(word), extra["n"].append(n)
+                if words:
+                    found = Counter(words)
+                    extra["row"].extend([row] * len(found))
+                    extra["word"].extend(found)
+                    extra["n"].extend(found.values())
             yield table(0, len(held), out)
-            yield table(1, len(extra["n"]), extra)
+            yield table(1, len(extra["row"]), extra)
 
         for batch in batches(rows, 2 << 20):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

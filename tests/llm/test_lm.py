@@ -154,3 +154,30 @@ def test_head_follows_the_vocabulary():
     network.flat += np.random.default_rng(3).normal(0, 0.3, len(network.flat)).astype(np.float32)
     by_context = [lm.scored([np.array([k, 1500])], network)[0] - lm.scored([np.array([k])], network)[0] for k in (3, 40)]
     assert abs(by_context[0] - by_context[1]) > 1e-3  # a word past rank 1,023 is told apart by what precedes it
+
+
+def test_long_texts_take_few_windows():
+    """A text far longer than the others is scored in long windows, not LONGER of its steps at a time."""
+    v, rng = small_vocabulary(), np.random.default_rng(4)
+    texts = [rng.integers(0, v.head + 1, n) for n in [20_000, *[40] * 600]]
+    cut = list(lm.windows(texts, v, lm.LONGER, lm.LONGEST))
+    assert len(cut) < 20_000 / lm.LONGER / 4 and all(x.size <= lm.LANES * lm.LONGER for x, *_ in cut)
+    for steps, longest in ((lm.WINDOW, 0), (lm.LONGER, lm.LONGEST)):
+        met = [np.full(len(t), -1) for t in texts]
+        at = [0] * len(texts)
+        for _, y, _, owner in lm.windows(texts, v, steps, longest):
+            for lane in range(y.shape[1]):
+                for token, k in zip(y[:, lane].tolist(), owner[:, lane].tolist()):
+                    if token >= 0:
+                        met[k][at[k]] = token
+                        at[k] += 1
+        assert all(np.array_equal(a, b) for a, b in zip(met, texts))
+
+
+def test_sums_of_rows_by_id():
+    rng = np.random.default_rng(5)
+    for ids in (rng.integers(0, 70, 3000), np.zeros(50, np.int64), rng.integers(0, 1 << 17, 400), np.array([3])):
+        rows = rng.normal(size=(len(ids), 5))
+        found, sums = lm.summed(ids, rows)
+        assert sorted(found.tolist()) == np.unique(ids).tolist()
+        assert all(np.allclose(total, rows[ids == k].sum(0)) for k, total in zip(found, sums))
