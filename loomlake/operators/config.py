@@ -6,15 +6,21 @@ Reading YAML needs Python; everything after the nodes is column work on one row
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.functions.text import render_pairs
 from loomlake.session import ship
 
+try:
+    import yaml
+except ImportError:
+    yaml = None  # the column functions do without
+
 #: The keys of a document, and the defaults of those that may be left out.
 SETTINGS = ["schema_version", "node_id", "data_directory", "admin", "log_level", "developer_mode"]
 ADMIN = ["address", "port"]
@@ -25,6 +31,7 @@ SCHEMA_VERSION = 1
 NODE = "struct<kind:string,value:string,is_text:boolean>"
 NODES = f"parsed boolean, key_error struct<code:string,field:string>, nodes map<string,{NODE}>"
 BOOLEANS = "y yes true on n no false off".split()
+NUMBER = re.compile(r"[-+]?(0[xX][0-9a-fA-F]+|0[0-7]*|[0-9]+|([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][-+]?[0-9]+)?|\.(inf|Inf|INF))|\.(nan|NaN|NAN)")
 
 
 def _is_text(tag: str | None, plain: bool, value: str) -> bool:
@@ -33,12 +40,11 @@ def _is_text(tag: str | None, plain: bool, value: str) -> bool:
         return True
     if tag is not None:
         return False
-    number = r"[-+]?(0[xX][0-9a-fA-F]+|0[0-7]*|[0-9]+|([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][-+]?[0-9]+)?|\.(inf|Inf|INF))|\.(nan|NaN|NAN)"
     case = value.lower() if value in (value.lower(), value.upper(), value.capitalize()) else value
-    return case not in BOOLEANS and not re.fullmatch(number, value)
+    return case not in BOOLEANS and not NUMBER.fullmatch(value)
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """A YAML node as written: kind, the value of a scalar, whether it is plain, its tag if one is given, and what it holds."""
 
@@ -52,36 +58,45 @@ class Node:
 NULLS = ["", "~", "null", "Null", "NULL"]
 
 
-def _top(text: str) -> Node | None:
-    """The node of a text's only document, built from the parser's events (in C where PyYAML has it)."""
-    import yaml
+def _events(text: str) -> Iterator:
+    """The parser's events of a text: in C where PyYAML has it, and then without the rest of a loader."""
+    if yaml.__with_libyaml__:
+        return iter(yaml.cyaml.CParser(text).get_event, None)
+    return yaml.parse(text, Loader=yaml.SafeLoader)
 
+
+def _top(text: str) -> Node | None:
+    """The node of a text's only document, built from the parser's events."""
     stack, named, top, documents = [], {}, None, 0
-    for event in yaml.parse(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
-        if isinstance(event, yaml.DocumentStartEvent):
-            documents += 1
-            named = {}
-        if isinstance(event, (yaml.MappingEndEvent, yaml.SequenceEndEvent)):
+    for event in _events(text):
+        kind = type(event)
+        if kind is yaml.ScalarEvent:
+            node = Node("scalar", event.value, not event.style, event.tag)
+        elif kind is yaml.MappingStartEvent or kind is yaml.SequenceStartEvent:
+            node = Node("mapping" if kind is yaml.MappingStartEvent else "sequence", [], False, event.tag)
+        elif kind is yaml.MappingEndEvent or kind is yaml.SequenceEndEvent:
             stack.pop()
-        if not isinstance(event, yaml.NodeEvent):
             continue
-        if isinstance(event, yaml.AliasEvent):
+        elif kind is yaml.AliasEvent:
             if event.anchor not in named:
                 raise ValueError("an alias without an anchor")
             node = named[event.anchor]
-        elif isinstance(event, yaml.ScalarEvent):
-            node = Node("scalar", event.value, not event.style, event.tag)
         else:
-            node = Node("mapping" if isinstance(event, yaml.MappingStartEvent) else "sequence", [], tag=event.tag)
+            if kind is yaml.DocumentStartEvent:
+                documents += 1
+                named = {}
+            continue
         if stack:
             stack[-1].value.append(node)
         else:
             top = node
-        if event.anchor and not isinstance(event, yaml.AliasEvent):
+        if kind is yaml.AliasEvent:
+            continue
+        if event.anchor:
             if event.anchor in named:
                 raise ValueError("an anchor twice")
             named[event.anchor] = node
-        if isinstance(event, (yaml.MappingStartEvent, yaml.SequenceStartEvent)):
+        if kind is not yaml.ScalarEvent:
             stack.append(node)
     if documents > 1:
         raise ValueError("more than one document")
@@ -90,8 +105,6 @@ def _top(text: str) -> Node | None:
 
 def _nodes(text: str, root: str):
     """Whether it parses, the first key error in document order, and the nodes that are needed."""
-    import yaml
-
     try:
         top = _top(text)
     except (yaml.YAMLError, ValueError):
@@ -143,18 +156,37 @@ def _nodes(text: str, root: str):
 
 
 def parsed(rows: DataFrame, text: str, root: str) -> DataFrame:
-    """Adds parsed, key_error and nodes of each YAML document."""
-    ship(rows.sparkSession)
-
-    @F.pandas_udf(NODES)
-    def run(column: pd.Series) -> pd.DataFrame:
-        out = []
-        for value in column:
+    """Adds parsed, key_error and nodes of each YAML document.
+
+    Parsing is the work here and a table of many rows may be a few small files, so rows are
+    dealt to all cores first.
+    """
+    spark = ship(rows.sparkSession)
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    @F.arrow_udf(NODES)
+    def run(column: pa.Array) -> pa.Array:
+        goods, codes, fields, ends, paths = [], [], [], [0], []
+        kinds, values, texts = [], [], []
+        for value in column.to_pylist():
             good, error, nodes = _nodes(value or "", root)
-            out.append((good, None if error is None else {"code": error[0], "field": error[1]}, {k: {"kind": a, "value": b, "is_text": c} for k, (a, b, c) in nodes.items()}))
-        return pd.DataFrame(out, columns=["parsed", "key_error", "nodes"])
-
-    return rows.withColumn("_yaml", run(text)).select(*rows.columns, "_yaml.*")
+            goods.append(good)
+            code, field = error or (None, None)
+            codes.append(code)
+            fields.append(field)
+            for path, (kind, content, is_text) in nodes.items():
+                paths.append(path)
+                kinds.append(kind)
+                values.append(content)
+                texts.append(is_text)
+            ends.append(len(paths))
+        strings = lambda x: pa.array(x, pa.string())
+        errors = pa.StructArray.from_arrays([strings(codes), strings(fields)], ["code", "field"], mask=pa.array([c is None for c in codes], pa.bool_()))
+        node = pa.StructArray.from_arrays([strings(kinds), strings(values), pa.array(texts, pa.bool_())], ["kind", "value", "is_text"])
+        maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), strings(paths), node)
+        return pa.StructArray.from_arrays([pa.array(goods, pa.bool_()), errors, maps], ["parsed", "key_error", "nodes"])
+
+    return rows.repartition(parts).withColumn("_yaml", run(text)).select(*rows.columns, "_yaml.*")
 
 
 def _integer(value: Column) -> Column:

@@ -82,6 +82,22 @@ def test_defaults_and_strings(spark):
     assert rows[0].level == "INFO"
 
 
+def test_one_file_is_parsed_by_many_tasks(spark):
+    """Small files with many documents, and any with one row group, are read by one task; parsing is shared out."""
+    one = spark.range(400).coalesce(1).select("id", F.concat(F.lit(document()), F.lit("  node_id: "), "id").alias("yaml"))
+    rows = config.validated(config.parsed(one, "yaml", "top"), "top").select("id", "error", "node_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.id, r.node_id) for r in rows if r.error is None) == [(i, i) for i in range(400)]
+    assert len({r.task for r in rows}) > 1
+
+
+def test_null_and_odd_texts(spark):
+    texts = [(0, None), (1, "top: {schema_version: 1, data_directory: 'é\U0001f600'}"), (2, "top: \x00"), (3, "[" * 300), (4, "top: &a {schema_version: 1, admin: *a}"), (5, "--- {}\n--- {}")]
+    rows = config.parsed(spark.createDataFrame(texts, "i int, yaml string"), "yaml", "top").orderBy("i").collect()
+    assert [r.parsed for r in rows] == [True, True, False, False, True, False]
+    assert [r.key_error and tuple(r.key_error) for r in rows] == [("invalid_type", "root"), None, None, None, None, None]
+    assert rows[1].nodes["data_directory"].value == "é\U0001f600" and rows[3].nodes == {} and rows[4].nodes["admin_error"].kind == "unknown_key"
+
+
 def test_logger_levels(spark):
     rows = spark.createDataFrame([(level,) for level in [*config.LEVELS, "other", None]], "log_level string").select(config.log_levels().alias("x"))
     assert [r.x for r in rows.collect()] == ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "INFO", "INFO"]
